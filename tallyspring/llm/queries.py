@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from tallyspring.llm import langid
 from tallyspring.llm.chat import digests, format_conversations
+from tallyspring.llm.minhash import near_duplicates
 from tallyspring.llm.mixing import mix
 from tallyspring.llm.packing import pack
 from tallyspring.llm.quality import quality
 from tallyspring.llm.secrets import scan
 from tallyspring.llm.token_count import count_tokens
 from tallyspring.llm.url_filter import judge
+from tallyspring.llm.vector_dedup import link_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
@@ -56,6 +62,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(extra)))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -66,8 +76,10 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
