@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyspring.llm.words import row_sums, slices, words
+from tallyspring.llm.words import row_slices, row_sums, slices, whole_rows, words
 
 #: The bounds of the model: labelled documents of a language (on average, drawn by hash of the id), trigrams of a
 #: language, languages.
@@ -225,28 +226,28 @@ def train(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_do
     return model
 
 
-def identify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """One row per input row: id, lang_pred, score, spans.
+def identify(df: DataFrame, model: Model, *, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """One row per input row: row (the input row, a struct), lang_pred, score, spans.
 
     ``score`` is the share of letters that the path gives to the language; ``spans`` lists first word, end and language
     of the path's runs. A text that is null or has no letter is ``und`` with score 0 and no spans; one with letters in
-    scripts of no learned language gets the commonest language with score 0. Without labelled rows all are ``und``. Ids may be null or repeat. Other columns are left out.
+    scripts of no learned language gets the commonest language with score 0. Without labelled rows all are ``und``.
+    Ids may be null or repeat, and columns may have any name.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
+    rows = whole_rows(df)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches):
+        for part in row_slices(batches, text_col):
             if m.languages:
                 langs, scores, spans = label(m, part.column(1), switch)
             else:
                 langs, scores, spans = [UNDETERMINED] * part.num_rows, [0.0] * part.num_rows, [[]] * part.num_rows
             told = [" ".join(f"{a}-{b}:{m.languages[k]}" for a, b, k in x) for x in spans]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(told, pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(told, pa.string())], names=["row", "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans string").withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.StringType())]))
 
 
 def held_out(id_: Column) -> Column:

@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = langid.held_out(F.col("doc_id"))
-    model = langid.train(documents.filter(~F.coalesce(held_out, F.lit(False))), id_col="doc_id", text_col="text", lang_col="lang")
-    out = langid.identify(documents, model)
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+    learned_from = ~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
+    model = langid.train(documents.filter(learned_from), id_col="doc_id", text_col="text", lang_col="lang")
+    out = langid.identify(documents.select("doc_id", "text"), model)
+    return out.select("row.doc_id", F.coalesce(langid.held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

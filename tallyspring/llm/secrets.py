@@ -18,9 +18,9 @@ from re import _parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyspring.llm.words import slices
+from tallyspring.llm.words import row_slices, whole_rows
 
 
 @dataclass(frozen=True)
@@ -127,28 +127,42 @@ class Scanner:
         return [sorted(x) for x in found]
 
 
-def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, keep_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_<kind> of each base rule, base_sha256, spans.
+def redacted(text: str, spans: list[tuple[int, int, int]], kinds: list[str]) -> str:
+    """The text with its spans replaced by their kind in brackets; what overlaps is one replacement."""
+    out, at = [], 0
+    for start, k, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kinds[k]}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if out else text
+
+
+def scan(df: DataFrame, *, text_col: str = "text", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, redact: bool = False) -> DataFrame:
+    """One row per input row: row (the input row, a struct), n_<kind> of each base rule, base_sha256, spans, and
+    redacted (the text without its secrets) if asked for.
 
     ``spans`` lists kind:start:end of all rules by start, then by the rules' order, comma-joined, in code points with
-    the end exclusive; ``base_sha256`` is the digest of the base rules' list. Null and empty texts have no spans.
-    Ids may be null or repeat; each row is scanned whole. Other columns are left out.
+    the end exclusive; ``base_sha256`` is the digest of the base rules' list. Null and empty texts have no spans; a null
+    text is redacted to an empty one. Ids may be null or repeat, columns may have any name; each text is scanned whole.
     """
     rules = (*base, *more)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
+    rows = whole_rows(df)
     counts = [f"n_{r.kind}" for r in base]
-    schema = f"doc_id {kind}, {', '.join(f'{c} bigint' for c in counts)}, base_sha256 string, spans string"
+    strings = ["base_sha256", "spans", *["redacted"] * redact]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, T.StringType()) for c in strings)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        name = [r.kind for r in rules]
-        for part in slices(batches):
-            spans = scanner.spans(part.column(1).to_pylist())
+        kinds = [r.kind for r in rules]
+        for part in row_slices(batches, text_col):
+            texts = part.column(1).to_pylist()
+            spans = scanner.spans(texts)
             of_base = [[s for s in x if s[1] < len(base)] for x in spans]
-            told = lambda x: ",".join([f"{name[k]}:{a}:{b}" for a, k, b in x])
+            told = lambda x: ",".join([f"{kinds[k]}:{a}:{b}" for a, k, b in x])
             columns = [part.column(0), *(pa.array([sum(s[1] == k for s in x) for x in of_base], pa.int64()) for k in range(len(base)))]
             columns += [pa.array([hashlib.sha256(told(x).encode()).hexdigest() for x in of_base], pa.string()), pa.array([told(x) for x in spans], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *counts, "base_sha256", "spans"])
+            if redact:
+                columns.append(pa.array([redacted(t, x, kinds) for t, x in zip(texts, spans, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", *counts, *strings])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(run, schema)

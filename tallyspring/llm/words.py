@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once. A longer single text makes a slice of its own.
 SLICE_BYTES = 8 << 20
@@ -32,6 +34,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The rows as one struct column ``row``, so that columns added beside it can't clash with theirs."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """``slices`` of rows of ``whole_rows``, with the columns row and text."""
+
+    def with_text() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            yield pa.RecordBatch.from_arrays([row, pc.struct_field(row, [row.type.get_field_index(text_col)])], names=["row", "text"])
+
+    return slices(with_text())
+
+
 def coded(lists: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of a list of strings for each row: the offsets of rows, the code of each string, the distinct strings."""
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
