@@ -46,16 +46,16 @@ def split_addresses(df: DataFrame, column: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [decode_muxed(a) for a in batch["address"]]
-            yield pd.DataFrame({"address": batch["address"], "base": [b for b, _ in found], "id": [None if i is None else str(i) for _, i in found]})
+            found = [decode_muxed(a) for a in batch["_address"]]
+            yield pd.DataFrame({"_address": batch["_address"], "_base": [b for b, _ in found], "_id": [None if i is None else str(i) for _, i in found]})
 
-    distinct = df.select(F.col(column).alias("address")).filter(F.col("address").startswith("M")).distinct()
-    decoded = distinct.mapInPandas(decode, "address string, base string, id string")
+    distinct = df.select(F.col(column).alias("_address")).filter(F.col("_address").startswith("M")).distinct()
+    decoded = distinct.mapInPandas(decode, "_address string, _base string, _id string")
     muxed: Column = F.col(column).startswith("M")
-    joined = df.join(decoded, df[column] == decoded["address"], "left")
+    joined = df.join(decoded, df[column] == decoded["_address"], "left")
     return joined.select(
         *(df[c] for c in df.columns),
-        F.when(muxed, F.col("base")).otherwise(df[column]).alias(f"{column}_base"),
+        F.when(muxed, F.col("_base")).otherwise(df[column]).alias(f"{column}_base"),
         F.when(muxed, df[column]).alias(f"{column}_muxed"),
-        wrapped_long(F.col("id").cast("decimal(20,0)")).alias(f"{column}_muxed_id"),
+        wrapped_long(F.col("_id").cast("decimal(20,0)")).alias(f"{column}_muxed_id"),
     )

@@ -69,7 +69,8 @@ def prefixed_hex(raw: Column) -> Column:
 def wrapped_long(unsigned: Column) -> Column:
     """An unsigned 64-bit value as the signed one with the same bits."""
     wide = unsigned.cast("decimal(20,0)")
-    return F.when(wide > F.lit(2**63 - 1).cast("decimal(20,0)"), wide - F.lit(2**64).cast("decimal(20,0)")).otherwise(wide).cast("bigint")
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    return F.when(wide > number(2**63 - 1), wide - number(2**64)).otherwise(wide).cast("bigint")
 
 
 def trimmed_code(code: Column) -> Column:
@@ -123,19 +124,17 @@ def predicate(value: Column, depth: int = 6) -> Column:
     null, for quarantine. A missing operand of ``not`` stays as a JSON null.
     """
 
-    def text(v: Column, path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(v, path, kind)
+    get = F.try_variant_get
 
     def walk(v: Column, left: int) -> Column:
-        kind = text(v, "$.kind")
+        kind = get(v, "$.kind", "string")
         out = F.when(v.isNull() | F.is_variant_null(v), F.lit("null")).when(kind == "unconditional", F.lit('{"unconditional":true}'))
-        for name in ("abs_before", "rel_before"):
-            out = out.when(kind == name, F.concat(F.lit(f'{{"{name}":"'), text(v, "$.at"), F.lit('"}')))
+        out = out.when(kind.isin("abs_before", "rel_before"), F.concat(F.lit('{"'), kind, F.lit('":"'), get(v, "$.at", "string"), F.lit('"}')))
         if left:
-            for name in ("and", "or"):
-                parts = [walk(text(v, f"$.of[{i}]", "variant"), left - 1) for i in range(2)]
-                out = out.when(kind == name, F.concat(F.lit(f'{{"{name}":['), parts[0], F.lit(","), parts[1], F.lit("]}")))
-            out = out.when(kind == "not", F.concat(F.lit('{"not":'), walk(text(v, "$.of[0]", "variant"), left - 1), F.lit("}")))
+            # one list of texts for all kinds, so the expression grows with the depth only
+            operands = F.transform(get(v, "$.of", "array<variant>"), lambda x: walk(x, left - 1))
+            joined = F.get(F.transform(F.array(F.struct(kind.alias("kind"), operands.alias("operands"))), lambda s: _labelled(s["kind"], s["operands"])), F.lit(0))
+            out = out.when(kind.isin("and", "or", "not"), joined)
         else:
             out = out.when(kind.isin("and", "or", "not"), F.lit(None).cast("string"))
         return out.otherwise(F.lit('{"unknown":true}'))
@@ -143,6 +142,13 @@ def predicate(value: Column, depth: int = 6) -> Column:
     return walk(value, depth)
 
 
+def _labelled(kind: Column, operands: Column) -> Column:
+    """``{"kind":operand}`` for ``not``, ``{"kind":[operands]}`` else; null if an operand is too deep."""
+    inner = F.array_join(operands, ",")
+    text = F.concat(F.lit('{"'), kind, F.lit('":'), F.when(kind == "not", inner).otherwise(F.concat(F.lit("["), inner, F.lit("]"))), F.lit("}"))
+    return F.when(F.exists(operands, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(text)
+
+
 def display(value: Column, depth: int = 3, *, low_word: bool = False) -> Column:
     """A contract value, held as VARIANT (``type``, ``v``; wide numbers as ``hi`` and ``lo``), as a display text.
 
@@ -160,7 +166,7 @@ def display(value: Column, depth: int = 3, *, low_word: bool = False) -> Column:
         out = out.when(kind == "bool", F.when(text(v, "$.v", "boolean"), "true").otherwise("false")).when(kind == "void", "void").when(kind == "error", F.concat(F.lit("error:"), F.coalesce(text(v, "$.v"), F.lit(""))))
         out = out.when(kind.isin("i128", "u128"), full.cast("string")).when(kind == "bytes", F.concat(F.lit("0x"), text(v, "$.v")))
         if left:
-            items = F.from_json(F.to_json(text(v, "$.v", "variant")), "array<variant>")
+            items = text(v, "$.v", "array<variant>")
             out = out.when(kind == "vec", F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: walk(x, left - 1)), ","), F.lit("]")))
             pairs = lambda x: F.concat(walk(text(x, "$.key", "variant"), left - 1), F.lit(":"), walk(text(x, "$.val", "variant"), left - 1))
             out = out.when(kind == "map", F.concat(F.lit("{"), F.array_join(F.transform(items, pairs), ","), F.lit("}")))

@@ -19,7 +19,7 @@ def newest_by_key(df: DataFrame, key: str, time: str, n: int, ties: list[str]) -
 
 def daily_stats(transactions: DataFrame, *, time: str, fee: str, flag: Column, amount: str | None = None) -> DataFrame:
     """Counts of each day, running totals, mean fee and share of flagged rows. The window runs over days, not rows."""
-    by_day = transactions.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n_day"), F.round(F.avg(fee), 4).alias("avg_fee"), (F.count_if(flag) * 100 / F.count("*")).cast("decimal(5,2)").alias("flag_share"))
+    by_day = transactions.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n_day"), F.avg(fee).alias("avg_fee"), (F.count_if(flag) * 100 / F.count("*")).cast("decimal(5,2)").alias("flag_share"))
     return by_day.withColumn("n_total", F.sum("n_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 

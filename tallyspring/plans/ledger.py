@@ -155,7 +155,7 @@ def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), x -> upper(x[1]) || x[2:]), '') AS camel, replace(p_name, ' ', '_') AS snake,
+SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') AS camel, replace(p_name, ' ', '_') AS snake,
   CASE WHEN p_size % 4 = 0 THEN 'unknown_' || p_size ELSE replace(p_name, ' ', '_') END AS type_name
 FROM part
 """)
@@ -403,11 +403,11 @@ def lag_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 SELECT day::VARCHAR AS day, n_day, avg_fee, flag_share, sum(n_day) OVER (ORDER BY day)::BIGINT AS n_total
-FROM (SELECT o_orderdate::DATE AS day, count(*) AS n_day, round(avg(o_totalprice), 4) AS avg_fee, round(count(*) FILTER (o_orderpriority = '1-URGENT') * 100 / count(*), 2)::DOUBLE AS flag_share FROM orders GROUP BY 1)
+FROM (SELECT o_orderdate::DATE AS day, count(*) AS n_day, round(avg(o_totalprice), 7) AS avg_fee, round(count(*) FILTER (o_orderpriority = '1-URGENT') * 100 / count(*), 2)::DOUBLE AS flag_share FROM orders GROUP BY 1)
 """)
 def daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = rollups.daily_stats(table(spark, sf_dir, "orders"), time="o_orderdate", fee="o_totalprice", flag=F.col("o_orderpriority") == "1-URGENT")
-    return stats.select(F.col("day").cast("string").alias("day"), "n_day", "avg_fee", F.col("flag_share").cast("double").alias("flag_share"), "n_total")
+    return stats.select(F.col("day").cast("string").alias("day"), "n_day", F.round("avg_fee", 7).alias("avg_fee"), F.col("flag_share").cast("double").alias("flag_share"), "n_total")
 
 
 @registered("""
