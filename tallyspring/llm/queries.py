@@ -10,6 +10,7 @@ from tallyspring.llm import langid
 from tallyspring.llm.chat import digests, format_conversations
 from tallyspring.llm.minhash import near_duplicates
 from tallyspring.llm.mixing import mix
+from tallyspring.llm.oracles import ORACLES
 from tallyspring.llm.packing import pack
 from tallyspring.llm.quality import quality
 from tallyspring.llm.secrets import scan
@@ -83,4 +84,5 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
