@@ -41,7 +41,7 @@ BLOCK_ROWS, BLOCK_WORDS = 256, 1_500_000
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, most=4 << 20):
         for at in range(0, part.num_rows, MOST_ROWS):
             yield part.slice(at, MOST_ROWS)
 
@@ -53,24 +53,29 @@ def counters(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def frequencies(docs: DataFrame) -> np.ndarray:
     """The sketch of document frequencies, over all documents."""
 
+    narrow = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(2 * COUNTERS, np.int64), False
+        total, any_row = np.zeros(2 * COUNTERS, np.uint32), False
         for part in small(batches):
             any_row = True
-            for at in counters(shingled(part.column(1)).hashes):
-                total += np.bincount(at, minlength=2 * COUNTERS)
+            for k, at in enumerate(counters(shingled(part.column(1)).hashes)):
+                total[k * COUNTERS : (k + 1) * COUNTERS] += np.bincount(at - k * COUNTERS, minlength=COUNTERS).astype(np.uint32)
         if any_row:
             parts = total.reshape(-1, SEGMENT)
             filled = np.flatnonzero(parts.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([parts[i].tobytes() for i in filled], pa.binary())], names=["segment", "counts"])
+            # a segment travels in the narrowest numbers that hold its counts
+            kinds = [next(i for i, t in enumerate(narrow) if parts[k].max() <= np.iinfo(t).max) for k in filled]
+            told = [parts[k].astype(narrow[i]).tobytes() for k, i in zip(filled, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(kinds, pa.int32()), pa.array(told, pa.binary())], names=["segment", "kind", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SEGMENT, np.int64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
+        for kind, x in zip(table.column("kind").to_pylist(), table.column("counts"), strict=True):
+            total += np.frombuffer(x.as_py(), narrow[kind])
         return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    summed = docs.select("doc_id", "text").mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary")
+    summed = docs.select("doc_id", "text").mapInArrow(count, "segment int, kind int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary")
     out = np.zeros((2 * COUNTERS // SEGMENT, SEGMENT), np.int64)
     for row in summed.toLocalIterator():  # 128 rows at most
         out[row["segment"]] = np.frombuffer(row["counts"], np.int64)
@@ -106,23 +111,25 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
 
 
 def loose_links(reps: DataFrame) -> DataFrame:
-    """(a, b): documents hung on the first of a band, or on the first of those that are unlike it."""
+    """(a, b): documents hung on the first of a band, or on the first of those that are unlike it.
+
+    Only hashes of bands and ids are dealt out by band; samples are joined to the distinct pairs of what shares one.
+    """
     width = 4 * ROWS
     keys = F.array(*(F.substring("samples", i * width + 1, width) for i in range(BANDS)))
-    banded = reps.select("rep", "samples", F.posexplode(keys).alias("band", "key")).select("rep", "samples", F.xxhash64("band", "key").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("n"), F.min_by("samples", "rep").alias("hub_samples"), F.min("rep").alias("hub")).filter("n > 1")
-    crowded = cut(crowded.select(F.col("key").alias("key2"), "hub", "hub_samples"))
-    on_hub = banded.join(crowded, F.col("key") == F.col("key2")).filter("rep != hub")
-    alike = F.aggregate(
-        F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)),
-        F.lit(0),
-        lambda n, i: n + (F.substring("samples", i * 4 + 1, F.lit(4)) == F.substring("hub_samples", i * 4 + 1, F.lit(4))).cast("int"),
-    )
-    hung = cut(on_hub.select("rep", "hub", "key", alike.alias("alike")))
-    rest = hung.filter(F.col("alike") < LOOSE)
+    banded = reps.select("rep", F.posexplode(keys).alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
+    crowded = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").select(F.col("key").alias("key2"), "hub"))
+    on_hub = cut(banded.join(crowded, F.col("key") == F.col("key2")).filter("rep != hub").select("rep", "hub", "key"))
+    pairs = on_hub.select("rep", "hub").distinct().join(reps, "rep").withColumnRenamed("samples", "own")
+    pairs = pairs.join(reps.withColumnRenamed("rep", "hub").withColumnRenamed("samples", "its"), "hub")
+    places = F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1))
+    alike = F.size(F.filter(places, lambda i: F.substring("own", i * 4 + 1, F.lit(4)) == F.substring("its", i * 4 + 1, F.lit(4))))
+    hung = cut(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b"), (alike >= LOOSE).alias("alike")))
+    unlike = hung.filter("not alike").select(F.col("a").alias("rep"), F.col("b").alias("hub"))
+    rest = cut(on_hub.join(unlike, ["rep", "hub"], "left_semi"))
     firsts = cut(rest.groupBy("key").agg(F.min("rep").alias("hub2")).withColumnRenamed("key", "key2"))
     again = rest.join(firsts, F.col("key") == F.col("key2")).filter("rep != hub2").select("rep", "hub2")
-    return hung.filter(F.col("alike") >= LOOSE).select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(again)
+    return hung.filter("alike").select("a", "b").union(again)
 
 
 def gram_matrix(row: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int, chunk: int = 4096) -> np.ndarray:
