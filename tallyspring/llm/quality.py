@@ -42,7 +42,7 @@ THRESHOLDS = (
     Rule("symbols for each word", "n_symbols", "n_words", most=10),
     Rule("words with a letter", "n_letter_words", "n_words", least=80),
     Rule("stop words", "n_stop_words", "n_words", least=1, from_words=60),
-    Rule("repeated lines", "n_dup_lines", "n_lines", most=30),
+    Rule("repeated lines", "n_dup_lines", "n_lines", most=50),
     Rule("lines that end in an ellipsis", "n_ellipsis_lines", "n_lines", most=30),
     Rule("lines that start with a bullet", "n_bullet_lines", "n_lines", most=90),
 )
