@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspring.llm.components import components
@@ -36,7 +36,7 @@ LOOSE = 24
 COUNTERS, SEGMENT = 1 << 20, 1 << 14
 #: The least weight that a frequent shingle keeps.
 FLOOR = 0.8
-#: A block of documents holds this many, or this many words.
+#: A block of documents holds about this many, or this many words.
 BLOCK_ROWS, BLOCK_WORDS = 256, 1_500_000
 
 
@@ -197,10 +197,9 @@ def verified_links(docs: DataFrame, clusters: DataFrame, weights: Weights) -> Da
     """
     spark = docs.sparkSession
     unit = F.lit(1.0 / BLOCK_ROWS) + F.col("n_words") / F.lit(float(BLOCK_WORDS))
-    running = F.sum(unit).over(Window.partitionBy("cluster").orderBy("n_words", "rep"))
-    placed = clusters.withColumn("block", F.floor(running).cast("long"))
-    sizes = placed.groupBy("cluster").agg((F.max("block") + 1).alias("blocks")).withColumnRenamed("cluster", "cluster2")
-    placed = cut(placed.join(cut(sizes), F.col("cluster") == F.col("cluster2")).select("rep", "cluster", "block", "blocks"))
+    sizes = cut(clusters.groupBy("cluster").agg(F.ceil(F.sum(unit)).cast("long").alias("blocks"))).withColumnRenamed("cluster", "cluster2")
+    placed = clusters.join(sizes, F.col("cluster") == F.col("cluster2")).select("rep", "cluster", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "blocks")
+    placed = cut(placed)
     bins = max(1, int(placed.filter("blocks = 1").count() / BLOCK_ROWS))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
