@@ -37,7 +37,7 @@ COUNTERS, SEGMENT = 1 << 20, 1 << 14
 #: The least weight that a frequent shingle keeps.
 FLOOR = 0.8
 #: A block of documents holds about this many, or this many words.
-BLOCK_ROWS, BLOCK_WORDS = 256, 1_500_000
+BLOCK_ROWS, BLOCK_WORDS = 256, 600_000
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
