@@ -149,11 +149,11 @@ def _labelled(kind: Column, operands: Column) -> Column:
     return F.when(F.exists(operands, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(text)
 
 
-def display(value: Column, depth: int = 3, *, low_word: bool = False) -> Column:
+def display(value: Column, depth: int = 6, *, low_word: bool = False) -> Column:
     """A contract value, held as VARIANT (``type``, ``v``; wide numbers as ``hi`` and ``lo``), as a display text.
 
-    Lists read ``[a,b]`` and maps ``{k:v,b:w}``. Beyond ``depth`` levels the result is null. ``low_word`` shows only the
-    lower 64 bits of 128-bit numbers.
+    Lists read ``[a,b]`` and maps ``{k:v,b:w}``. With more than ``depth`` levels of them, or with an item that can't be
+    shown, the whole result is null, for quarantine. ``low_word`` shows only the lower 64 bits of 128-bit numbers.
     """
     text = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
     wide = "decimal(38,0)"
@@ -167,9 +167,11 @@ def display(value: Column, depth: int = 3, *, low_word: bool = False) -> Column:
         out = out.when(kind.isin("i128", "u128"), full.cast("string")).when(kind == "bytes", F.concat(F.lit("0x"), text(v, "$.v")))
         if left:
             items = text(v, "$.v", "array<variant>")
-            out = out.when(kind == "vec", F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: walk(x, left - 1)), ","), F.lit("]")))
-            pairs = lambda x: F.concat(walk(text(x, "$.key", "variant"), left - 1), F.lit(":"), walk(text(x, "$.val", "variant"), left - 1))
-            out = out.when(kind == "map", F.concat(F.lit("{"), F.array_join(F.transform(items, pairs), ","), F.lit("}")))
+            sides = F.flatten(F.transform(items, lambda x: F.array(text(x, "$.key", "variant"), text(x, "$.val", "variant"))))
+            # one list of texts for lists and maps, so the expression grows with the depth only
+            texts = F.transform(F.when(kind == "map", sides).otherwise(items), lambda x: walk(x, left - 1))
+            joined = F.get(F.transform(F.array(F.struct(kind.alias("kind"), texts.alias("texts"))), lambda s: _enclosed(s["kind"], s["texts"])), F.lit(0))
+            out = out.when(kind.isin("vec", "map"), joined)
         else:
             out = out.when(kind.isin("vec", "map"), F.lit(None).cast("string"))
         return out.otherwise(F.concat(F.lit("scval_type_"), F.coalesce(text(v, "$.code"), kind)))
@@ -177,6 +179,14 @@ def display(value: Column, depth: int = 3, *, low_word: bool = False) -> Column:
     return walk(value, depth)
 
 
+def _enclosed(kind: Column, texts: Column) -> Column:
+    """``[a,b]``, or ``{k:v,b:w}`` for a map, whose keys and values take turns; null if a text is."""
+    after = F.transform(texts, lambda x, i: F.concat(F.when(i == 0, "").when((kind == "map") & (i % 2 == 1), ":").otherwise(","), x))
+    inner = F.array_join(after, "")
+    text = F.when(kind == "map", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+    return F.when(F.exists(texts, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(text)
+
+
 def topic(topics: Column, i: int) -> Column:
     return F.get(topics, F.lit(i))
 

@@ -69,31 +69,38 @@ def has_contract_operation(operations: Column) -> Column:
     return F.coalesce(F.exists(operations, lambda o: S.type_name(o["type_name"], o["type"]).isin(*S.CONTRACT_OPERATIONS)), F.lit(False))
 
 
-def operation_table(transactions_raw: DataFrame, domain: Column) -> DataFrame:
-    """One row per operation, in order from 1."""
+def operation_table(transactions_raw: DataFrame, domain: Column) -> tuple[DataFrame, DataFrame]:
+    """One row per operation, in order from 1; those with a claim predicate that can't be shown go to quarantine."""
     good = transactions_raw.filter(transaction_problem().isNull())
     each = good.select(S.transaction_digest(domain, F.col("hash_payload")).alias("transaction_hash"), S.epoch_time(F.col("created_at")).alias("created_at"), F.posexplode("operations").alias("pos", "o"))
     each = each.withColumn("type_name", S.type_name(F.col("o.type_name"), F.col("o.type")))
     name, body = F.col("type_name"), F.col("o.body")
+    hidden = F.exists(body["claimants"], lambda c: S.predicate(c["predicate"]).isNull())
+    each, bad = split(each, F.when((name == "create_claimable_balance") & hidden, "predicate"))
     rows = each.select(
         "transaction_hash", (F.col("pos") + 1).alias("application_order"), "o.type", "type_name", F.col("o.source.base").alias("source_account"), F.col("o.source.muxed").alias("source_account_muxed"),
         S.wrapped_long(F.col("o.source.muxed_id")).alias("source_muxed_id"), *(c.alias(n) for n, c in promoted(name, body).items()), details(name, body).alias("details"), "created_at",
     )
-    return typed(rows, "operations")
+    return typed(rows, "operations"), bad
 
 
-def contract_event_table(transactions_raw: DataFrame, domain: Column) -> DataFrame:
-    """Events with a contract and a version-0 body, in order inside their transaction."""
+def contract_event_table(transactions_raw: DataFrame, domain: Column) -> tuple[DataFrame, DataFrame]:
+    """Events with a contract and a version-0 body, in order inside their transaction.
+
+    Events with a topic or a value that is there but can't be shown go to quarantine.
+    """
     good = transactions_raw.filter(transaction_problem().isNull())
     events = S.versioned_events(F.col("meta.v"), F.col("meta.v3_events"), F.col("meta.operations"))
     each = good.select(S.transaction_digest(domain, F.col("hash_payload")).alias("transaction_hash"), F.col("ledger").alias("ledger_sequence"), S.epoch_time(F.col("created_at")).alias("created_at"), F.posexplode(events).alias("event_ordinal", "e"))
     each = each.filter(F.col("e.contract_id").isNotNull() & (F.col("e.body_v") == 0))
-    each = each.withColumn("shown", F.transform("e.topics", lambda t: S.display(t["val"])))
+    each = each.withColumn("shown", F.transform("e.topics", lambda t: S.display(t["val"]))).withColumn("shown_value", S.display(F.col("e.data.val")))
+    hidden = F.exists(F.zip_with("e.topics", "shown", lambda t, text: t["val"].isNotNull() & text.isNull()), lambda x: x)
+    each, bad = split(each, F.when(hidden, "topics").when(F.col("e.data.val").isNotNull() & F.col("shown_value").isNull(), "value"))
     rows = each.select(
         S.hex_text(F.col("e.contract_id")).alias("contract_id"), "transaction_hash", "ledger_sequence", "event_ordinal", "e.type", *(S.topic(F.col("shown"), i).alias(f"topic_{i + 1}") for i in range(4)),
-        F.to_json(F.transform("e.topics", lambda t: t["xdr"])).alias("topics_xdr"), F.col("e.data.xdr").alias("value_xdr"), F.to_json("shown").alias("topics_decoded"), S.json_string(S.display(F.col("e.data.val"))).alias("value_decoded"), "created_at",
+        F.to_json(F.transform("e.topics", lambda t: t["xdr"])).alias("topics_xdr"), F.col("e.data.xdr").alias("value_xdr"), F.to_json("shown").alias("topics_decoded"), S.json_string(F.col("shown_value")).alias("value_decoded"), "created_at",
     )
-    return typed(rows, "contract_events")
+    return typed(rows, "contract_events"), bad.drop("shown", "shown_value")
 
 
 #: Widths of token-event fields in bytes, and the reason told for a wider one.

@@ -66,18 +66,20 @@ def process(spark: SparkSession, lake: Lake, ledgers: DataFrame, publisher: Call
         rows, bad_ledgers = builders.ledger_table(seen, found)
         transactions, bad_transactions = builders.transaction_table(found, lake.domain_column())
         tokens, bad_tokens = builders.token_event_table(seen)
+        operations, bad_operations = builders.operation_table(found, lake.domain_column())
+        events, bad_events = builders.contract_event_table(found, lake.domain_column())
         rows = rows.observe(told, F.count("*").alias("ledgers"), F.coalesce(F.sum("transaction_count"), F.lit(0)).alias("transactions"), F.coalesce(F.sum("operation_count"), F.lit(0)).alias("operations"))
         rows = rows.persist()
         counted = rows.count() and told.get
         writes.append(rows, lake.tables, "ledgers")
         writes.append(transactions, lake.tables, "transactions")
-        writes.append(builders.operation_table(found, lake.domain_column()), lake.tables, "operations")
+        writes.append(operations, lake.tables, "operations")
         detected = contracts.detect(found)
         there = spark.read.parquet(f"{lake.tables}/detected_contracts")
         writes.insert_if_absent(detected, there, ["contract_id"]).write.mode("append").parquet(f"{lake.tables}/detected_contracts")
         writes.append(tokens, lake.tables, "token_events")
-        writes.append(builders.contract_event_table(found, lake.domain_column()), lake.tables, "contract_events")
-        for name, bad in (("ledgers", bad_ledgers), ("transactions", bad_transactions), ("token_events", bad_tokens)):
+        writes.append(events, lake.tables, "contract_events")
+        for name, bad in (("ledgers", bad_ledgers), ("transactions", bad_transactions), ("token_events", bad_tokens), ("operations", bad_operations), ("contract_events", bad_events)):
             quarantine(bad, lake, name)
         set_cursor(spark, lake, seen)
         if publisher:
