@@ -37,12 +37,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: What stands between the lines of a key: blanks, escaped line ends, quotes and marks of code or quotations.
+GAP = r"""(?:[\s"'>,;#*|+]|\\+[nrt])*+"""
+#: A private key: its header with all up to the END line of the same label, but never past another header; where END is
+#: missing, with the base64 that follows, of which a last line may be short.
+KEY = (
+    r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    rf"|(?:{GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*)*(?:{GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})*"
+    r"""(?:(?:\r?\n|(?:\\+r)?\\+n)[\x20\t>]*[A-Za-z0-9+/]+={0,2}(?=[\x20\t]*(?:[\r\n\\"']|\Z)))?)"""
+)
 #: Spans that the method adds: formats of widely used credentials.
 MORE = (
     Rule("bearer", r"(?i:authorization)[\"']?\x20*[:=]\x20*[\"']?(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 16),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("key", KEY),
     Rule("login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/@]+)@[A-Za-z0-9.-]+", 1, 6),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
