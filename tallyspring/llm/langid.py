@@ -113,10 +113,13 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 
 def one_language(scores: np.ndarray, offsets: np.ndarray, leader: np.ndarray, switch: float) -> np.ndarray:
-    """Texts whose Viterbi path surely stays with the leader: no run of words gains more than a switch for any rival.
+    """Texts whose Viterbi path surely stays with the leader: no run of words gains more than a switch for any rival,
+    nor do a first and a last run together.
 
-    With at least one switch for every run away from the leader, such runs can't pay. The best run ending at each
-    word is a difference of prefix sums, for all texts at once.
+    A path that visits the leader has at least one switch for every run away from it, so such runs can't pay. One that
+    never does has a switch less than runs: its inner runs pay for themselves at best, and its first and its last run
+    share a switch. A single rival can't pay, as the leader has the best sum. The best run ending at each word is a
+    difference of prefix sums, for all texts at once.
     """
     lengths = np.diff(offsets)
     gain = scores - np.repeat(scores_of(scores, np.repeat(leader, lengths)), scores.shape[1]).reshape(scores.shape)
@@ -125,7 +128,11 @@ def one_language(scores: np.ndarray, offsets: np.ndarray, leader: np.ndarray, sw
     for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
         if b > a:
             part = prefix[a : b + 1]
-            sure[i] = (part[1:] - np.minimum.accumulate(part[:-1], axis=0)).max() <= switch
+            most = (part[1:] - np.minimum.accumulate(part[:-1], axis=0)).max()
+            sure[i] = most <= switch
+            if switch / 2 < most <= switch:
+                first, last = (part[1:].max(0) - part[0]).max(), (part[-1] - part[:-1].min(0)).max()
+                sure[i] = first + last <= switch
     return sure
 
 
