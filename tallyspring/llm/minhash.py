@@ -2,8 +2,9 @@
 
 1. Document frequencies of five-word shingles are counted over all documents in a sketch of fixed size (hashed
    counters, two rows, 8 MB), which is sent to the tasks. Unseen collisions only raise a frequency.
-2. Every document gets consistent weighted samples of its TF-IDF shingles. Documents with the same words in the same
-   order form a class, which one document stands for from here on.
+2. Every document gets consistent weighted samples of its TF-IDF shingles, and as many of its shingles under equal
+   weights, as a link may hold under either. Documents with the same words in the same order form a class, which one
+   document stands for from here on.
 3. Documents that share a band of samples are joined to the band's first document, and those unlike it to the first
    of the rest. The components of these links are loose clusters: whatever is similar enough is inside one.
 4. Inside a loose cluster all documents are compared exactly, by products of sparse blocks: the sums of the smaller
@@ -95,13 +96,13 @@ class Weights:
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, digests of the words, n_words, samples (binary, 4 bytes each)."""
+    """doc_id, digests of the words, n_words, samples (binary, 4 bytes each; those under equal weights come last)."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sampler(BANDS * ROWS)
         for part in small(batches):
             s = shingled(part.column(1))
-            samples = of.samples(s.hashes, weights.of(s.hashes, s.times), s.offsets)
+            samples = np.concatenate([of.samples(s.hashes, x, s.offsets) for x in (weights.of(s.hashes, s.times), np.zeros(len(s.hashes), np.int64))], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(d.view(np.int64)) for d in s.digests), pa.array(s.n_words.astype(np.int64)), pa.array([x.tobytes() for x in samples], pa.binary())],
                 names=["doc_id", "d1", "d2", "n_words", "samples"],
@@ -116,17 +117,19 @@ def loose_links(reps: DataFrame) -> DataFrame:
     Only hashes of bands and ids are dealt out by band; samples are joined to the distinct pairs of what shares one.
     """
     width = 4 * ROWS
-    keys = F.array(*(F.substring("samples", i * width + 1, width) for i in range(BANDS)))
-    banded = reps.select("rep", F.posexplode(keys).alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
+    keys = F.array(*(F.substring("samples", i * width + 1, width) for i in range(2 * BANDS)))
+    # a pair that meets in a band is compared by the samples of the band's kind: TF-IDF (0) or equal weights (1)
+    banded = reps.select("rep", F.posexplode(keys).alias("band", "key")).select("rep", F.floor(F.col("band") / BANDS).cast("int").alias("kind"), F.xxhash64("band", "key").alias("key"))
     crowded = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").select(F.col("key").alias("key2"), "hub"))
-    on_hub = cut(banded.join(crowded, F.col("key") == F.col("key2")).filter("rep != hub").select("rep", "hub", "key"))
-    pairs = on_hub.select("rep", "hub").distinct().join(reps, "rep").withColumnRenamed("samples", "own")
-    pairs = pairs.join(reps.withColumnRenamed("rep", "hub").withColumnRenamed("samples", "its"), "hub")
+    on_hub = cut(banded.join(crowded, F.col("key") == F.col("key2")).filter("rep != hub").select("rep", "hub", "kind", "key"))
+    halves = reps.select("rep", F.posexplode(F.array(*(F.substring("samples", k * BANDS * width + 1, BANDS * width) for k in range(2)))).alias("kind", "own"))
+    pairs = on_hub.select("rep", "hub", "kind").distinct().join(halves, ["rep", "kind"])
+    pairs = pairs.join(halves.withColumnRenamed("rep", "hub").withColumnRenamed("own", "its"), ["hub", "kind"])
     places = F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1))
     alike = F.size(F.filter(places, lambda i: F.substring("own", i * 4 + 1, F.lit(4)) == F.substring("its", i * 4 + 1, F.lit(4))))
-    hung = cut(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b"), (alike >= LOOSE).alias("alike")))
-    unlike = hung.filter("not alike").select(F.col("a").alias("rep"), F.col("b").alias("hub"))
-    rest = cut(on_hub.join(unlike, ["rep", "hub"], "left_semi"))
+    hung = cut(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "kind", (alike >= LOOSE).alias("alike")))
+    unlike = hung.filter("not alike").select(F.col("a").alias("rep"), F.col("b").alias("hub"), "kind")
+    rest = cut(on_hub.join(unlike, ["rep", "hub", "kind"], "left_semi"))
     firsts = cut(rest.groupBy("key").agg(F.min("rep").alias("hub2")).withColumnRenamed("key", "key2"))
     again = rest.join(firsts, F.col("key") == F.col("key2")).filter("rep != hub2").select("rep", "hub2")
     return hung.filter("alike").select("a", "b").union(again)
