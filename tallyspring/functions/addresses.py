@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,25 +37,25 @@ def decode_muxed(address: str) -> tuple[str | None, int | None]:
     return base64.b32encode(body + checksum(body)).decode().rstrip("="), int.from_bytes(raw[33:41], "big")
 
 
-def split_addresses(df: DataFrame, column: str) -> DataFrame:
+def split_addresses(df: DataFrame, column: str, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds <column>_base, <column>_muxed and <column>_muxed_id.
 
-    A plain address is its own base. Only the distinct ``M`` addresses are decoded, in batches; the dimension is joined
-    back by shuffle unless Spark finds it small. A broken ``M`` address has a null base.
+    A plain address, or none, is its own base and isn't moved. Only rows with an ``M`` address meet the join with their
+    decoded, distinct addresses. A broken ``M`` address has a null base. ``hold`` may persist the
+    rows, which are read three times.
     """
+    df = hold(df)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [decode_muxed(a) for a in batch["_address"]]
             yield pd.DataFrame({"_address": batch["_address"], "_base": [b for b, _ in found], "_id": [None if i is None else str(i) for _, i in found]})
 
-    distinct = df.select(F.col(column).alias("_address")).filter(F.col("_address").startswith("M")).distinct()
-    decoded = distinct.mapInPandas(decode, "_address string, _base string, _id string")
-    muxed: Column = F.col(column).startswith("M")
-    joined = df.join(decoded, df[column] == decoded["_address"], "left")
-    return joined.select(
-        *(df[c] for c in df.columns),
-        F.when(muxed, F.col("_base")).otherwise(df[column]).alias(f"{column}_base"),
-        F.when(muxed, df[column]).alias(f"{column}_muxed"),
-        wrapped_long(F.col("_id").cast("decimal(20,0)")).alias(f"{column}_muxed_id"),
-    )
+    muxed: Column = F.coalesce(F.col(column).startswith("M"), F.lit(False))
+    none = F.lit(None).cast("string")
+    plain = df.filter(~muxed).select(*df.columns, F.col(column).alias(f"{column}_base"), none.alias(f"{column}_muxed"), none.cast("bigint").alias(f"{column}_muxed_id"))
+    those = df.filter(muxed)
+    decoded = those.select(F.col(column).alias("_address")).distinct().mapInPandas(decode, "_address string, _base string, _id string")
+    joined = those.join(decoded, those[column] == decoded["_address"], "left")
+    split = joined.select(*(those[c] for c in df.columns), F.col("_base").alias(f"{column}_base"), those[column].alias(f"{column}_muxed"), wrapped_long(F.col("_id").cast("decimal(20,0)")).alias(f"{column}_muxed_id"))
+    return plain.union(split)

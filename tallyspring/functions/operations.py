@@ -16,7 +16,7 @@ ASSET = "struct<kind:string,code:string,issuer:string>"
 PRICE = "struct<n:bigint,d:bigint>"
 BODY = (
     f"struct<destination:{MUXED},amount:bigint,asset:{ASSET},starting_balance:bigint,dest_amount:bigint,dest_asset:{ASSET},"
-    f"send_asset:{ASSET},send_max:bigint,send_amount:bigint,dest_min:bigint,function_type:string,limit:bigint,selling:{ASSET},"
+    f"send_asset:{ASSET},send_max:bigint,send_amount:bigint,dest_min:bigint,function_type:string,contract_id:binary,limit:bigint,selling:{ASSET},"
     f"buying:{ASSET},buy_amount:bigint,price:{PRICE},offer_id:bigint,claimants:array<struct<destination:string,predicate:variant>>,"
     "balance_type:int,balance_hash:binary,sponsored_id:string,sponsorship:struct<kind:string,account_id:string,"
     f"asset:{ASSET},pool:binary,offer_id:bigint,data_name:string,balance_type:int,balance_hash:binary,key_type:string,signer_key:string>,"
@@ -89,8 +89,11 @@ def _sponsorship(s: Column, key: str) -> Column:
     }[key]
 
 
-def details(name: Column, body: Column, type_code: Column | None = None) -> Column:
-    """The details of an operation as JSON; numbers are decimal texts, and each object has ``type``."""
+def details(name: Column, body: Column, predicates: Column | None = None) -> Column:
+    """The details of an operation as JSON; numbers are decimal texts, and each object has ``type``.
+
+    ``predicates`` holds the claimants' predicates as JSON texts, where they were made before.
+    """
     tags_of: dict[str, list[str]] = {}
     for tag, keys in KEYS.items():
         for key in keys.split():
@@ -113,7 +116,8 @@ def details(name: Column, body: Column, type_code: Column | None = None) -> Colu
     sponsorship = KEYS["revoke_sponsorship"].split()
     for key, tags in tags_of.items():
         if key == "claimants":
-            claimants = F.transform(body["claimants"], lambda c: F.struct(c["destination"].alias("destination"), F.parse_json(S.predicate(c["predicate"])).alias("predicate")))
+            texts = F.transform(body["claimants"], lambda c: S.predicate(c["predicate"])) if predicates is None else predicates
+            claimants = F.zip_with(body["claimants"], texts, lambda c, p: F.struct(c["destination"].alias("destination"), F.parse_json(p).alias("predicate")))
             fields.append(F.when(name.isin(*tags), claimants).alias(key))
             continue
         own = [t for t in tags if t != "revoke_sponsorship"]
@@ -128,7 +132,8 @@ def details(name: Column, body: Column, type_code: Column | None = None) -> Colu
 
 
 def promoted(name: Column, body: Column) -> dict[str, Column]:
-    """Columns destination, destination_muxed, destination_muxed_id, amount, asset_code, asset_issuer, function_name."""
+    """Columns destination, destination_muxed, destination_muxed_id, amount, asset_code, asset_issuer, contract_id,
+    function_name."""
     to = [t for t, (d, _, _) in PROMOTED.items() if d]
     null = F.lit(None)
     amount, code, issuer = null.cast("bigint"), null.cast("string"), null.cast("string")
@@ -144,5 +149,6 @@ def promoted(name: Column, body: Column) -> dict[str, Column]:
         "amount": amount.cast("decimal(38,7)"),
         "asset_code": code,
         "asset_issuer": issuer,
+        "contract_id": F.when(name == "invoke_host_function", S.hex_text(body["contract_id"])),
         "function_name": F.when(name == "invoke_host_function", body["function_type"]),
     }

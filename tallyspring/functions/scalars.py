@@ -14,16 +14,26 @@ NATIVE_CODE = "XLM"
 EVENT_CODES = {"transfer": 0, "mint": 1, "burn": 2, "clawback": 3, "fee": 4}
 
 
+#: Seconds of the years 1 to 9999, outside which a time counts as unreadable.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+#: A whole RFC 3339 time: date, ``T``, time of day, and ``Z`` or an offset.
+RFC_3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
 def parse_time(text: Column) -> Column:
     """A timestamp from epoch seconds as text, else from RFC 3339; null when neither parses.
 
-    The whole text has to be a number for the first form, so a date isn't read as its year.
+    The whole text has to be a number for the first form, so a date isn't read as its year, and a whole date, time and
+    zone for the second, so nothing is filled in from the clock. Times outside the years 1 to 9999 are null.
     """
-    return F.when(text.rlike(r"^-?[0-9]+$"), F.timestamp_seconds(text.try_cast("bigint"))).otherwise(F.try_to_timestamp(text))
+    written = F.try_to_timestamp(F.when(text.rlike(RFC_3339), text))
+    seconds = F.unix_seconds(written)
+    return F.when(text.rlike(r"^-?[0-9]+$"), epoch_time(text.try_cast("bigint"))).when(seconds.between(FIRST_SECOND, LAST_SECOND), written)
 
 
 def epoch_time(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds)
+    """Null outside the years 1 to 9999."""
+    return F.timestamp_seconds(F.when(seconds.between(FIRST_SECOND, LAST_SECOND), seconds))
 
 
 def transaction_digest(domain: Column, payload: Column) -> Column:

@@ -67,6 +67,6 @@ def contract_rows(detected: DataFrame, instances: DataFrame, codes: DataFrame, m
 
 
 def code_rows(contracts: DataFrame, codes: DataFrame) -> DataFrame:
-    """Code rows of the contracts' hashes."""
-    used = codes.join(contracts.select("wasm_hash").distinct(), "wasm_hash", "left_semi")
-    return used.select("wasm_hash", F.col("code").alias("wasm_bytecode"), F.length("code").alias("wasm_size"), S.base64_text(F.col("spec_xdr").cast("binary")).alias("contract_spec"), spec_json(F.col("spec")).alias("spec_parsed"))
+    """Code rows of the contracts' hashes. ``spec_xdr`` is text in the landing rows, like their other blobs."""
+    used = codes.join(contracts.filter("wasm_hash IS NOT NULL").select("wasm_hash").distinct(), "wasm_hash", "left_semi")
+    return used.select("wasm_hash", F.col("code").alias("wasm_bytecode"), F.length("code").alias("wasm_size"), F.col("spec_xdr").alias("contract_spec"), spec_json(F.col("spec")).alias("spec_parsed"))

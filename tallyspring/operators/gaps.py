@@ -27,14 +27,18 @@ def missing(df: DataFrame, column: str, start: int, end: int, limit: int | None
 def contiguous_ranges(ids: DataFrame, column: str, bucket: int = BUCKET) -> DataFrame:
     """Minimal (range_start, range_end) of distinct ids.
 
-    Islands are found inside buckets of ids, over all tasks; only their ends meet in a second, unpartitioned pass.
+    Islands are found inside buckets of ids, over all tasks. Only an island that touches its bucket's edge can go on in
+    the next bucket, so at most two of a bucket meet in the second, unpartitioned pass: as many rows as there are
+    buckets, not islands.
     """
     inside = Window.partitionBy("_bucket").orderBy(column)
     numbered = ids.select(column).distinct().withColumn("_bucket", F.floor(F.col(column) / bucket)).withColumn("_island", F.col(column) - F.row_number().over(inside))
     parts = numbered.groupBy("_bucket", "_island").agg(F.min(column).alias("s"), F.max(column).alias("e"))
+    at_edge = (F.pmod("s", F.lit(bucket)) == 0) | (F.pmod("e", F.lit(bucket)) == bucket - 1)
     across = Window.orderBy("s")
-    joined = parts.withColumn("_new", F.coalesce((F.col("s") != F.lag("e").over(across) + 1).cast("int"), F.lit(1))).withColumn("_range", F.sum("_new").over(across))
-    return joined.groupBy("_range").agg(F.min("s").alias("range_start"), F.max("e").alias("range_end")).select("range_start", "range_end")
+    joined = parts.filter(at_edge).withColumn("_new", F.coalesce((F.col("s") != F.lag("e").over(across) + 1).cast("int"), F.lit(1))).withColumn("_range", F.sum("_new").over(across))
+    merged = joined.groupBy("_range").agg(F.min("s").alias("range_start"), F.max("e").alias("range_end")).drop("_range")
+    return parts.filter(~at_edge).select(F.col("s").alias("range_start"), F.col("e").alias("range_end")).union(merged)
 
 
 def rows_in_ranges(landing: DataFrame, ranges: DataFrame, column: str = "sequence") -> DataFrame:

@@ -11,6 +11,31 @@ def newest(df: DataFrame, time: str, n: int = 5) -> DataFrame:
     return df.orderBy(F.desc(time), *(c for c in df.columns if c != time)).limit(n)
 
 
+#: Columns by which the newest rows of a table are looked up, and the rows that such a look-up is about.
+ACCESS_PATHS = {
+    "transactions": {"account": None, "ledger_sequence": None, "is_soroban": "is_soroban"},
+    "operations": {"transaction_hash": None, "type": None, "source_account": None, "destination": "destination IS NOT NULL", "asset_code": "asset_code IS NOT NULL", "contract_id": "contract_id IS NOT NULL"},
+    "contract_events": {"contract_id": None, "topic_1": "topic_1 IS NOT NULL", "transaction_hash": None, "ledger_sequence": None},
+    "token_events": {"from_address": "from_address IS NOT NULL", "to_address": "to_address IS NOT NULL", "asset_code": "asset_code IS NOT NULL", "transaction_hash": None, "ledger_sequence": None},
+}
+
+
+def newest_where(df: DataFrame, table: str, values: dict[str, object], time: str = "created_at", n: int = 20) -> DataFrame:
+    """The n newest rows whose columns have the values, such as a contract's with a topic.
+
+    The values and the path's own condition are plain filters, so they reach the scan, and rows that are clustered by
+    ``writes.compact`` are skipped by file.
+    """
+    paths = ACCESS_PATHS[table]
+    if unknown := set(values) - set(paths):
+        raise ValueError(f"no access path of {table} by {sorted(unknown)}")
+    found = df
+    for column, value in values.items():
+        found = found.filter(F.col(column) == F.lit(value))
+        found = found.filter(paths[column]) if paths[column] else found
+    return newest(found, time, n)
+
+
 def newest_by_key(df: DataFrame, key: str, time: str, n: int, ties: list[str]) -> DataFrame:
     """The n newest rows of each key. Spark limits each task's rows of a key before the shuffle."""
     ranked = df.withColumn("rank_in_key", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), *ties)))
@@ -23,17 +48,38 @@ def daily_stats(transactions: DataFrame, *, time: str, fee: str, flag: Column, a
     return by_day.withColumn("n_total", F.sum("n_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def mean_close_seconds(ledgers: DataFrame, sequence: str = "sequence", closed_at: str = "closed_at", bucket: int = 64_000) -> DataFrame:
-    """Mean seconds between ledgers by day; neighbours are found inside buckets of sequences."""
-    by = Window.partitionBy(F.floor(F.col(sequence) / bucket)).orderBy(sequence)
-    gaps = ledgers.withColumn("gap", F.unix_timestamp(closed_at) - F.unix_timestamp(F.lag(closed_at).over(by)))
-    return gaps.groupBy(F.to_date(closed_at).alias("day")).agg(F.avg("gap").alias("avg_close_seconds"))
+def close_gaps(ledgers: DataFrame, sequence: str = "sequence", closed_at: str = "closed_at", bucket: int = 64_000) -> DataFrame:
+    """(closed_at, gap): seconds from each ledger's predecessor to it; none for the first.
+
+    Neighbours are found inside buckets of sequences; the first of a bucket takes the last of the bucket before it from
+    a window over buckets, of which there are few.
+    """
+    rows = ledgers.select(F.col(sequence).alias("_at"), F.col(closed_at).alias("closed_at"), F.floor(F.col(sequence) / bucket).alias("_bucket"))
+    by = Window.partitionBy("_bucket").orderBy("_at")
+    inner = rows.select("closed_at", (F.unix_timestamp("closed_at") - F.unix_timestamp(F.lag("closed_at").over(by))).alias("gap"))
+    ends = rows.groupBy("_bucket").agg(F.min_by("closed_at", "_at").alias("closed_at"), F.max_by("closed_at", "_at").alias("_last"))
+    edges = ends.select("closed_at", (F.unix_timestamp("closed_at") - F.unix_timestamp(F.lag("_last").over(Window.orderBy("_bucket")))).alias("gap"))
+    return inner.union(edges).filter("gap is not null")
+
+
+def network_stats(ledgers: DataFrame, transactions: DataFrame, *, sequence: str = "sequence", closed_at: str = "closed_at", time: str = "created_at", fee: str = "fee_charged", flag: Column | None = None, bucket: int = 64_000) -> DataFrame:
+    """One row for each day with transactions: those of ``daily_stats`` and the mean seconds between its ledgers."""
+    days = daily_stats(transactions, time=time, fee=fee, flag=F.col("is_soroban") if flag is None else flag)
+    closes = close_gaps(ledgers, sequence, closed_at, bucket).groupBy(F.to_date("closed_at").alias("day")).agg(F.avg("gap").alias("avg_close_seconds"))
+    return days.join(closes, "day", "left")
 
 
 def activity(events: DataFrame, key: str, name: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias(name))
 
 
+def contract_activity(contracts: DataFrame, events: DataFrame, operations: DataFrame, key: str = "contract_id") -> DataFrame:
+    """Contracts with their event_count and invocation_count, zeros included. Counts are aggregated before the joins."""
+    of_events, of_operations = activity(events, key, "event_count"), activity(operations.filter(F.col(key).isNotNull()), key, "invocation_count")
+    joined = contracts.join(of_events, key, "left").join(of_operations, key, "left")
+    return joined.select(*contracts.columns, F.coalesce("event_count", F.lit(0)).alias("event_count"), F.coalesce("invocation_count", F.lit(0)).alias("invocation_count"))
+
+
 def asset_supply(token_events: DataFrame) -> DataFrame:
     """Supply of each issued asset: mints less burns and clawbacks."""
     sign = F.when(F.col("event_type_name") == "mint", F.col("amount")).when(F.col("event_type_name").isin("burn", "clawback"), -F.col("amount")).otherwise(0)
@@ -64,10 +110,30 @@ def ohlc(trades: DataFrame, *, pair: list[str], time: str, price: str, tie: str)
     return trades.groupBy(*pair, F.to_date(time).alias("day")).agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count("*").alias("n_trades"))
 
 
-def offer_book(offers: DataFrame) -> DataFrame:
-    """Offers with their decimal price, best first inside each pair."""
+def offer_book(offers: DataFrame, buckets: int = 1) -> DataFrame:
+    """Offers with their decimal price, best first inside each pair.
+
+    With more than one bucket, a pair is cut into that many parts by price, at quantiles of its own prices. Offers are
+    numbered inside a part and moved by the size of the parts before it, so that a hot pair is spread over tasks.
+    """
     priced = offers.withColumn("price", F.try_divide(F.col("price_n").cast("decimal(20,0)"), F.col("price_d").cast("decimal(20,0)")).cast("decimal(20,10)"))
-    return priced.withColumn("place", F.row_number().over(Window.partitionBy("selling", "buying").orderBy("price", "offer_id")))
+    pair = ["selling", "buying"]
+    if buckets < 2:
+        return priced.withColumn("place", F.row_number().over(Window.partitionBy(*pair).orderBy("price", "offer_id")))
+    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    cuts = priced.groupBy(*pair).agg(F.approx_percentile("price", shares).alias("_cuts"))
+    same = lambda a, b: [a[c].eqNullSafe(b[f"_{c}"]) for c in pair]
+    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in pair), "_cuts")
+    # equal prices are in one part; an offer without a price stands first, as null sorts
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("price"))), F.lit(0)).alias("_part")
+    dealt = priced.join(cuts, same(priced, cuts), "left").select(*priced.columns, part)
+    sizes = dealt.groupBy(*pair, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*pair).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(*(F.col(c).alias(f"_{c}") for c in pair), F.col("_part").alias("_part2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*pair, "_part").orderBy("price", "offer_id"))
+    placed = dealt.withColumn("_inside", inside)
+    out = placed.join(ahead, [*same(placed, ahead), placed["_part"] == ahead["_part2"]])
+    return out.select(*priced.columns, (F.col("_inside") + F.col("_ahead")).cast("int").alias("place"))
 
 
 def expiring(storage: DataFrame, ledger: int) -> DataFrame:

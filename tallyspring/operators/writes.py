@@ -42,19 +42,22 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/{table}")
 
 
-def append(batch: DataFrame, folder: str, table: str) -> None:
-    """Adds the rows that the table lacks. A replayed batch adds none.
+def append(batch: DataFrame, folder: str, table: str) -> int:
+    """Adds the rows that the table lacks, and returns how many the batch has. A replayed batch adds none.
 
-    The target is read only in the batch's chunks: a batch spans few, and their number is what comes to the driver.
+    The target is read only in the batch's chunks: a batch spans few, and their counts are what comes to the driver.
     """
     spark = batch.sparkSession
-    placed = batch.withColumn(CHUNK, chunk_of(table))
-    chunks = [r[0] for r in placed.select(CHUNK).distinct().collect()]
-    if not chunks:
-        return
-    target = read(spark, folder, table).filter(F.col(CHUNK).isin(chunks))
-    fresh = insert_if_absent(placed, target, KEYS[table])
-    fresh.select(*(f.name for f in table_schema(table).fields), CHUNK).write.mode("append").partitionBy(CHUNK).parquet(f"{folder}/{table}")
+    placed = batch.withColumn(CHUNK, chunk_of(table)).persist()
+    try:
+        chunks = dict(placed.groupBy(CHUNK).count().collect())
+        if chunks:
+            target = read(spark, folder, table).filter(F.col(CHUNK).isin(list(chunks)))
+            fresh = insert_if_absent(placed, target, KEYS[table])
+            fresh.select(*(f.name for f in table_schema(table).fields), CHUNK).write.mode("append").partitionBy(CHUNK).parquet(f"{folder}/{table}")
+        return sum(chunks.values())
+    finally:
+        placed.unpersist()
 
 
 def fold(arrivals: DataFrame, key: str, order: str, *, overwrite: list[str], keep: list[str], first: list[str]) -> DataFrame:
@@ -96,6 +99,45 @@ def upsert_codes(old: DataFrame, new: DataFrame, contracts: DataFrame) -> DataFr
     return merged.join(counts, "wasm_hash", "left").withColumn("contract_count", F.coalesce("contract_count", F.lit(0)))
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def versions(spark: SparkSession, folder: str, table: str) -> list[int]:
+    """Complete versions of a table that is replaced as a whole, in rising order."""
+    fs, path = _file_system(spark, f"{folder}/{table}")
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    numbers = sorted(int(n.removeprefix("v")) for n in names if n.startswith("v") and n[1:].isdigit())
+    return [n for n in numbers if fs.exists(_file_system(spark, f"{folder}/{table}/v{n}/_SUCCESS")[1])]
+
+
+def read_version(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The newest complete version; empty if there is none."""
+    found = versions(spark, folder, table)
+    if not found:
+        return spark.createDataFrame([], table_schema(table))
+    return spark.read.schema(table_schema(table)).parquet(f"{folder}/{table}/v{found[-1]}")
+
+
+def replace(df: DataFrame, folder: str, table: str, keep: int = 3) -> None:
+    """Writes the rows as the table's next version. A crash leaves the version before it in place.
+
+    A version counts once its job has put the success mark, which comes last; readers of the last ``keep`` versions
+    aren't disturbed.
+    """
+    spark = df.sparkSession
+    found = versions(spark, folder, table)
+    number = (found[-1] if found else 0) + 1
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{folder}/{table}/v{number}")
+    for old in found[: max(0, len(found) + 1 - keep)]:
+        fs, path = _file_system(spark, f"{folder}/{table}/v{old}")
+        fs.delete(path, True)
+
+
 def advance_cursor(state: DataFrame, seen: DataFrame, column: str = "sequence", key: str = "last_ingested_ledger") -> DataFrame:
     """The state with its cursor at the greatest sequence seen so far; it never moves back."""
     top = seen.agg(F.max(F.col(column).cast("bigint")).alias("top"))
@@ -110,6 +152,12 @@ def delete_ledger(sequence: int, ledgers: DataFrame, transactions: DataFrame, op
     return ledgers.filter(F.col("sequence") != sequence), transactions.filter(F.col("ledger_sequence") != sequence), operations.join(gone, "transaction_hash", "left_anti")
 
 
+def reset_cursor(spark: SparkSession, folder: str, key: str = "last_ingested_ledger") -> None:
+    """Deletes one key of the ingestion state, by a row that takes back the ones before it; tables stay as they are."""
+    gone = spark.range(1, numPartitions=1).select(F.lit(key).alias("key"), F.lit(None).cast("string").alias("value"), F.current_timestamp().alias("updated_at"))
+    gone.write.mode("append").parquet(f"{folder}/ingestion_state")
+
+
 def reset(spark: SparkSession, folder: str, table: str) -> None:
     """Empties a table."""
     empty = spark.createDataFrame([], table_schema(table))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspring.functions import scalars as S
-from tallyspring.functions.addresses import split_addresses
+from tallyspring.functions.addresses import ACCOUNT_VERSION, MUXED_VERSION, checksum, split_addresses
 from tallyspring.functions.operations import BODY, details, promoted
 from tallyspring.operators import builders, contracts, gaps, rollups, writes
 from tallyspring.sources import landing
@@ -67,12 +69,13 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     native = F.struct(F.lit("native").alias("kind"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("issuer"))
     account = F.struct(F.concat(F.lit("G"), F.col("user_id").cast("string")).alias("base"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("M"), F.col("user_id").cast("string"))).alias("muxed"), F.col("event_id").cast("decimal(20,0)").alias("muxed_id"))
     price = F.struct(F.col("event_id").alias("n"), F.col("user_id").alias("d"))
-    body = F.from_json(F.lit("{}"), BODY)
-    for name, value in {
+    filled = {
         "destination": account, "amount": cents, "asset": F.when(F.col("event_id") % 3 == 0, native).otherwise(issued), "starting_balance": cents + 1, "selling": issued, "buying": native, "price": price, "offer_id": F.col("event_id"),
         "pool_id": F.col("event_type").cast("binary"), "max_amount_a": cents, "max_amount_b": cents + 2, "min_price": price, "max_price": price, "balance_type": F.lit(0), "balance_hash": F.col("event_type").cast("binary"),
-    }.items():
-        body = body.withField(name, value)
+        "contract_id": F.col("event_type").cast("binary"), "function_type": F.col("user_id").cast("string"),
+    }
+    fields = T.StructType.fromDDL(f"body {BODY}")["body"].dataType.fields
+    body = F.struct(*(filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
     tag = F.element_at(F.create_map(*(F.lit(x) for pair in TAGS.items() for x in pair)), F.col("event_type"))
     return events.select("event_id", tag.alias("tag"), body.alias("body"))
 
@@ -107,12 +110,13 @@ SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'G' || user_
   CASE WHEN event_type IN ('click', 'error') THEN {CENTS_SQL} WHEN event_type = 'purchase' THEN {CENTS_SQL} + 1 END AS amount,
   CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'XLM' WHEN event_type IN ('click', 'error') THEN event_type END AS asset_code,
   CASE WHEN event_type = 'error' OR event_type = 'click' AND event_id % 3 <> 0 THEN user_id::VARCHAR END AS asset_issuer,
-  NULL::VARCHAR AS function_name
+  CASE WHEN event_type = 'view' THEN lower(hex(event_type::BLOB)) END AS contract_id, CASE WHEN event_type = 'view' THEN user_id::VARCHAR END AS function_name
 FROM events
 """)
 def promoted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bodies(spark, sf_dir).withColumn("tag", F.when(F.col("tag") == TAGS["view"], "invoke_host_function").otherwise(F.col("tag")))
     columns = promoted(F.col("tag"), F.col("body"))
-    return bodies(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in columns.items())).withColumn("amount", F.col("amount").cast("bigint"))
+    return rows.select("event_id", *(c.alias(n) for n, c in columns.items())).withColumn("amount", F.col("amount").cast("bigint"))
 
 
 @registered("""
@@ -133,7 +137,7 @@ def event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("""
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderpriority WHEN 'O' THEN o_custkey::VARCHAR END AS memo_text,
   CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN lower(hex(o_orderpriority::BLOB)) END AS memo_hash,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS status, coalesce(any_r, false) AS is_contract
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS status, coalesce(any_r, false) AS is_soroban
 FROM orders LEFT JOIN (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS any_r FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
 """)
 def memo_status_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,14 +147,24 @@ def memo_status_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", S.MEMO_TEXT).when(F.col("o_orderstatus") == "O", S.MEMO_ID).otherwise(S.MEMO_HASH)
     return joined.select(
         "o_orderkey", S.memo_text(kind, F.col("o_orderpriority"), F.col("o_custkey")).alias("memo_text"), S.memo_hash(kind, F.col("o_orderpriority").cast("binary")).alias("memo_hash"),
-        S.status_flag(F.when(F.col("o_orderpriority") == "1-URGENT", S.SUCCESS_CODES[0])).cast("int").alias("status"), builders.has_contract_operation(F.col("operations")).alias("is_contract"),
+        S.status_flag(F.when(F.col("o_orderpriority") == "1-URGENT", S.SUCCESS_CODES[0])).cast("int").alias("status"), builders.has_contract_operation(F.col("operations")).alias("is_soroban"),
     )
 
 
-@registered("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN epoch(date_trunc('second', ts))::BIGINT END AS seconds FROM events")
+@registered("""
+SELECT event_id, CASE WHEN event_id % 9 IN (0, 1) THEN epoch(date_trunc('second', ts))::BIGINT WHEN event_id % 9 = 2 THEN epoch(date_trunc('second', ts))::BIGINT - 19800 END AS seconds FROM events
+""")
 def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    text = F.when(F.col("event_id") % 3 == 0, F.unix_seconds(F.to_timestamp(iso)).cast("string")).when(F.col("event_id") % 3 == 1, iso).otherwise(F.concat(F.date_format("ts", "yyyy"), F.lit(" or so")))
+    """Epoch seconds, RFC 3339 in two zones, and texts that are no time: a year with words, a number past the range of
+    time, one past 64 bits, a month, a day, a time of day."""
+    iso, rest = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("event_id") % 9
+    forms = [
+        F.unix_seconds(F.to_timestamp(iso)).cast("string"), iso, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5+05:30")), F.concat(F.date_format("ts", "yyyy"), F.lit(" or so")), F.lit(str(2**63 - 1)),
+        F.concat(F.lit("1"), F.lpad(F.col("event_id").cast("string"), 20, "0")), F.date_format("ts", "yyyy-MM"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"),
+    ]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(rest == i, form).otherwise(text)
     return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(S.parse_time(text)).alias("seconds"))
 
 
@@ -194,13 +208,21 @@ def asset_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(r"""
-SELECT doc_id, w[1] AS topic_1, w[2] AS topic_2, w[3] AS topic_3, w[4] AS topic_4, len(w)::BIGINT AS n_topics
-FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents)
+SELECT doc_id, pos AS event_ordinal, w[1] AS topic_1, w[2] AS topic_2, w[3] AS topic_3, w[4] AS topic_4, len(w)::BIGINT AS n_topics
+FROM (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w, 0 AS pos FROM documents WHERE doc_id % 3 < 2
+  UNION ALL SELECT doc_id, regexp_extract_all(coalesce(source, ''), '[^ \t-\r]+'), 1 FROM documents WHERE doc_id % 3 = 1
+)
 """)
 def topics_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
-    topics = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    return topics.select("doc_id", *(S.topic(F.col("w"), i).alias(f"topic_{i + 1}") for i in range(4)), F.size("w").cast("bigint").alias("n_topics"))
+    """Topics of the events of a transaction: version 3 keeps them in a list of its own, version 4 with its operations,
+    and others have none."""
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").withColumn("version", (F.col("doc_id") % 3 + 3).cast("int"))
+    own = F.array(words(F.col("text")))
+    operations = F.array(F.struct(own.alias("events")), F.struct(F.array(words(F.col("source"))).alias("events")))
+    events = docs.select("doc_id", F.posexplode(S.versioned_events(F.col("version"), own, operations)).alias("event_ordinal", "w"))
+    return events.select("doc_id", "event_ordinal", *(S.topic(F.col("w"), i).alias(f"topic_{i + 1}") for i in range(4)), F.size("w").cast("bigint").alias("n_topics"))
 
 
 @registered("""
@@ -239,12 +261,28 @@ def predicate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.predicate(F.parse_json(text), 3).alias("predicate"))
 
 
-@registered("""
-SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'G' || c_name END AS address_base, CASE WHEN c_custkey % 3 = 0 THEN 'M' || c_name END AS address_muxed, NULL::BIGINT AS address_muxed_id FROM customer
+def muxed_address(nation: int) -> tuple[str, str, int]:
+    """A multiplexed address with a key and an id made from a number, its plain address and its id as a signed one."""
+    key, number = bytes([nation]) * 32, nation << 59
+    encoded = [base64.b32encode(body + checksum(body)).decode().rstrip("=") for body in (bytes([MUXED_VERSION]) + key + number.to_bytes(8, "big"), bytes([ACCOUNT_VERSION]) + key)]
+    return *encoded, number - (number >> 63 << 64)
+
+
+#: Those of the nations, whose keys are 0 to 24.
+MUXED = [muxed_address(n) for n in range(25)]
+MUXED_SQL = ", ".join(f"({n}, '{m}', '{base}', {number})" for n, (m, base, number) in enumerate(MUXED))
+
+
+@registered(f"""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN 'G' || c_name WHEN 2 THEN base END AS address_base, CASE c_custkey % 3 WHEN 0 THEN 'M' || c_name WHEN 2 THEN muxed END AS address_muxed,
+  CASE c_custkey % 3 WHEN 2 THEN number END AS address_muxed_id
+FROM customer JOIN (VALUES {MUXED_SQL}) AS m(nation, muxed, base, number) ON nation = c_nationkey
 """)
 def address_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain addresses, and ones that claim to be multiplexed but have no valid check sum."""
-    address = F.concat(F.when(F.col("c_custkey") % 3 == 0, "M").otherwise("G"), "c_name").alias("address")
+    """Multiplexed addresses, ones that only claim to be, without a valid check sum, and plain ones."""
+    muxed = F.element_at(F.array(*(F.lit(m) for m, _, _ in MUXED)), (F.col("c_nationkey") + 1).cast("int"))
+    rest = F.col("c_custkey") % 3
+    address = F.when(rest == 2, muxed).otherwise(F.concat(F.when(rest == 0, "M").otherwise("G"), "c_name")).alias("address")
     return split_addresses(table(spark, sf_dir, "customer").select("c_custkey", address), "address").drop("address")
 
 
@@ -402,12 +440,33 @@ def lag_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT day::VARCHAR AS day, n_day, avg_fee, flag_share, sum(n_day) OVER (ORDER BY day)::BIGINT AS n_total
-FROM (SELECT o_orderdate::DATE AS day, count(*) AS n_day, round(avg(o_totalprice), 7) AS avg_fee, round(count(*) FILTER (o_orderpriority = '1-URGENT') * 100 / count(*), 2)::DOUBLE AS flag_share FROM orders GROUP BY 1)
+WITH days AS (SELECT o_orderdate::DATE AS day, count(*) AS n_day, round(avg(o_totalprice), 7) AS avg_fee, round(count(*) FILTER (o_orderpriority = '1-URGENT') * 100 / count(*), 2)::DOUBLE AS flag_share FROM orders GROUP BY 1),
+gaps AS (SELECT o_orderdate::DATE AS day, round(avg(gap), 7) AS avg_close_seconds FROM (SELECT o_orderdate, epoch(o_orderdate) - epoch(lag(o_orderdate) OVER (ORDER BY o_orderkey)) AS gap FROM orders) GROUP BY 1)
+SELECT day::VARCHAR AS day, n_day, avg_fee, flag_share, sum(n_day) OVER (ORDER BY day)::BIGINT AS n_total, avg_close_seconds FROM days LEFT JOIN gaps USING (day)
 """)
 def daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = rollups.daily_stats(table(spark, sf_dir, "orders"), time="o_orderdate", fee="o_totalprice", flag=F.col("o_orderpriority") == "1-URGENT")
-    return stats.select(F.col("day").cast("string").alias("day"), "n_day", F.round("avg_fee", 7).alias("avg_fee"), F.col("flag_share").cast("double").alias("flag_share"), "n_total")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    stats = rollups.network_stats(orders, orders, sequence="o_orderkey", closed_at="o_orderdate", time="o_orderdate", fee="o_totalprice", flag=F.col("o_orderpriority") == "1-URGENT", bucket=1000)
+    return stats.select(F.col("day").cast("string").alias("day"), "n_day", F.round("avg_fee", 7).alias("avg_fee"), F.col("flag_share").cast("double").alias("flag_share"), "n_total", F.round("avg_close_seconds", 7).alias("avg_close_seconds"))
+
+
+@registered("""
+SELECT c_custkey AS contract_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS event_count, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0) AS invocation_count FROM customer
+""")
+def contract_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contract_ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("contract_id"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("contract_id"))
+    return rollups.contract_activity(contract_ids, orders, orders.select(F.when(F.col("o_orderkey") % 2 == 0, F.col("contract_id")).alias("contract_id")))
+
+
+@registered("""
+SELECT event_id, user_id AS contract_id, event_type AS topic_1 FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND event_type = 'click' ORDER BY ts DESC, event_id, user_id, event_type LIMIT 20
+""")
+def newest_by_contract_and_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min("user_id")).first()[0]
+    rows = events.select("event_id", F.col("user_id").alias("contract_id"), F.col("event_type").alias("topic_1"), F.col("ts").alias("created_at"))
+    return rollups.newest_where(rows, "contract_events", {"contract_id": first, "topic_1": "click"}).drop("created_at")
 
 
 @registered("""
@@ -462,7 +521,7 @@ SELECT p_partkey AS offer_id, p_brand AS selling, p_type AS buying, row_number()
 """)
 def offer_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("offer_id"), F.col("p_brand").alias("selling"), F.col("p_type").alias("buying"), F.col("p_size").alias("price_n"), (F.col("p_partkey") % 9 + 1).alias("price_d"))
-    return rollups.offer_book(offers).select("offer_id", "selling", "buying", "place")
+    return rollups.offer_book(offers, buckets=4).select("offer_id", "selling", "buying", "place")
 
 
 @registered("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey + 100 < 1000")

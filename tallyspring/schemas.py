@@ -45,12 +45,12 @@ TABLES = {
     ),
     "transactions": (
         "hash string, ledger_sequence bigint, application_order int, account string, account_muxed string, account_muxed_id bigint, account_sequence bigint, fee_charged bigint,"
-        "max_fee bigint, operation_count int, memo_type smallint, memo_text string, memo_hash string, status smallint, is_contract boolean, envelope_xdr string,"
-        "result_xdr string, result_meta_xdr string, created_at timestamp"
+        "max_fee bigint, operation_count int, memo_type smallint, memo_text string, memo_hash string, time_bounds_min bigint, time_bounds_max bigint, status smallint,"
+        "is_soroban boolean, soroban_resources string, envelope_xdr string, result_xdr string, result_meta_xdr string, fee_meta_xdr string, created_at timestamp"
     ),
     "operations": (
         "transaction_hash string, application_order int, type smallint, type_name string, source_account string, source_account_muxed string, source_muxed_id bigint,"
-        "asset_code string, asset_issuer string, amount decimal(38,7), destination string, destination_muxed string, destination_muxed_id bigint, function_name string,"
+        "asset_code string, asset_issuer string, amount decimal(38,7), destination string, destination_muxed string, destination_muxed_id bigint, contract_id string, function_name string,"
         "details string, created_at timestamp"
     ),
     "token_events": (
@@ -68,6 +68,9 @@ TABLES = {
     ),
     "contract_code": "wasm_hash string, wasm_bytecode binary, wasm_size int, contract_spec string, spec_parsed string, contract_count bigint",
     "ingestion_state": "key string, value string, updated_at timestamp",
+    "detected_contracts": "contract_id string, created_ledger bigint, created_at timestamp",
+    "ingest_counters": "low bigint, high bigint, ledgers bigint, transactions bigint, operations bigint, token_events bigint, contract_events bigint, errors bigint, publish_errors bigint, at timestamp",
+    "quarantine": "source string, reason string, ledger bigint, row string",
 }
 
 #: Natural keys by which a replayed row is known, and the column and unit of the time partitions.

@@ -39,8 +39,11 @@ def lookup(snapshot: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def cursor(state: DataFrame, key: str = "last_ingested_ledger") -> DataFrame:
-    """One row; 0 if there is no such key."""
-    return state.agg(F.coalesce(F.max(F.when(F.col("key") == key, F.col("value").cast("bigint"))), F.lit(0)).alias("last"))
+    """One row with the greatest value of the key since it was last deleted; 0 if there is none."""
+    mine = state.filter(F.col("key") == key)
+    deleted = mine.filter("value IS NULL").agg(F.max("updated_at").alias("deleted"))
+    since = mine.crossJoin(deleted).filter("deleted IS NULL OR updated_at > deleted")  # one row on the right
+    return since.agg(F.coalesce(F.max(F.col("value").cast("bigint")), F.lit(0)).alias("last"))
 
 
 def ledger_rows(documents: DataFrame) -> DataFrame:

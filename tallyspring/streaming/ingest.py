@@ -6,10 +6,12 @@ append skips rows that are there, and the cursor is written last, so a batch tha
 
 from __future__ import annotations
 
+import functools
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +21,15 @@ from tallyspring.sources import landing
 from tallyspring.streaming import publish
 
 CURSOR = "last_ingested_ledger"
+#: The first ledger of a tail, told once by its first run.
+TAIL_START = "tail_start"
+#: Tables that are rewritten as versions, by the side stream.
+VERSIONED = ("contracts", "contract_code")
+#: What is counted of a batch.
+COUNTS = ("ledgers", "transactions", "operations", "token_events", "contract_events", "errors", "publish_errors")
+LOG = logging.getLogger(__name__)
+
+Publisher = Callable[[DataFrame], None]
 
 
 @dataclass
@@ -34,84 +45,128 @@ class Lake:
         return F.lit(bytearray(self.domain))
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return writes.read(spark, self.tables, name)
+        return writes.read_version(spark, self.tables, name) if name in VERSIONED else writes.read(spark, self.tables, name)
 
 
 def create_tables(spark: SparkSession, lake: Lake) -> None:
-    for name in (*KEYS, "ingestion_state", "detected_contracts"):
-        if name == "detected_contracts":
-            spark.createDataFrame([], "contract_id string, created_ledger bigint, created_at timestamp").write.mode("ignore").parquet(f"{lake.tables}/{name}")
-        else:
-            writes.create(spark, lake.tables, name)
+    for name in (*KEYS, "ingestion_state", "detected_contracts", "ingest_counters", "quarantine"):
+        writes.create(spark, lake.tables, name)
+    for name in VERSIONED:
+        if not writes.versions(spark, lake.tables, name):
+            writes.replace(spark.createDataFrame([], table_schema(name)), lake.tables, name)
 
 
-def quarantine(rows: DataFrame, lake: Lake, source: str) -> None:
-    rows.select(F.lit(source).alias("source"), "reason", F.to_json(F.struct(*(c for c in rows.columns if c != "reason"))).alias("row")).write.mode("append").parquet(f"{lake.tables}/quarantine")
+def quarantined(bad: dict[str, DataFrame]) -> DataFrame:
+    """Rows that couldn't be built, as (source, reason, ledger, row as JSON)."""
+    parts = []
+    for source, rows in bad.items():
+        ledger = next(c for c in ("ledger_sequence", "sequence", "ledger") if c in rows.columns)
+        told = F.to_json(F.struct(*(c for c in rows.columns if c != "reason")))
+        parts.append(rows.select(F.lit(source).alias("source"), "reason", F.col(ledger).cast("bigint").alias("ledger"), told.alias("row")))
+    return functools.reduce(DataFrame.union, parts)
 
 
-def process(spark: SparkSession, lake: Lake, ledgers: DataFrame, publisher: Callable[[DataFrame], None] | None = None) -> dict[str, int]:
+def process(spark: SparkSession, lake: Lake, ledgers: DataFrame, publisher: Publisher | None = None) -> dict[str, int]:
     """Writes all tables for a batch of landing ledgers; returns its counts.
 
-    Transactions are read for the batch's range of ledgers only. Bad rows go to quarantine and never stop a batch;
-    messages are sent after the cursor, and an error in sending is the publisher's own matter.
+    Transactions are read for the batch's range of ledgers only. Bad rows go to quarantine, once each, and never stop a
+    batch. Messages are sent after the cursor; an error in sending is logged and counted, and nothing else. The counts
+    are what the batch built, before rows that are there already are skipped; ``errors`` are its quarantined rows.
     """
-    seen = ledgers.dropDuplicates(["sequence"]).persist()
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
     try:
+        seen = hold(ledgers.dropDuplicates(["sequence"]))
         low, high = seen.agg(F.min("sequence"), F.max("sequence")).first()
         if low is None:
-            return {"ledgers": 0, "transactions": 0}
+            return dict.fromkeys(COUNTS, 0)
         found = spark.read.schema(TRANSACTIONS_RAW).parquet(lake.transactions)
-        found = landing.ledger_range(found, low, high, "ledger").join(seen.select(F.col("sequence").alias("ledger")), "ledger", "left_semi").persist()
-        told = Observation("ingest")
-        rows, bad_ledgers = builders.ledger_table(seen, found)
-        transactions, bad_transactions = builders.transaction_table(found, lake.domain_column())
-        tokens, bad_tokens = builders.token_event_table(seen)
-        operations, bad_operations = builders.operation_table(found, lake.domain_column())
-        events, bad_events = builders.contract_event_table(found, lake.domain_column())
-        rows = rows.observe(told, F.count("*").alias("ledgers"), F.coalesce(F.sum("transaction_count"), F.lit(0)).alias("transactions"), F.coalesce(F.sum("operation_count"), F.lit(0)).alias("operations"))
-        rows = rows.persist()
-        counted = rows.count() and told.get
-        writes.append(rows, lake.tables, "ledgers")
-        writes.append(transactions, lake.tables, "transactions")
-        writes.append(operations, lake.tables, "operations")
-        detected = contracts.detect(found)
-        there = spark.read.parquet(f"{lake.tables}/detected_contracts")
-        writes.insert_if_absent(detected, there, ["contract_id"]).write.mode("append").parquet(f"{lake.tables}/detected_contracts")
-        writes.append(tokens, lake.tables, "token_events")
-        writes.append(events, lake.tables, "contract_events")
-        for name, bad in (("ledgers", bad_ledgers), ("transactions", bad_transactions), ("token_events", bad_tokens), ("operations", bad_operations), ("contract_events", bad_events)):
-            quarantine(bad, lake, name)
+        found = hold(landing.ledger_range(found, low, high, "ledger").join(seen.select(F.col("sequence").alias("ledger")), "ledger", "left_semi"))
+        good, bad = {}, {}
+        good["ledgers"], bad["ledgers"] = builders.ledger_table(seen, found, hold=hold)
+        good["transactions"], bad["transactions"] = builders.transaction_table(found, lake.domain_column())
+        good["operations"], bad["operations"] = builders.operation_table(found, lake.domain_column(), hold)
+        good["token_events"], bad["token_events"] = builders.token_event_table(seen, hold)
+        good["contract_events"], bad["contract_events"] = builders.contract_event_table(found, lake.domain_column(), hold)
+        counts = dict.fromkeys(COUNTS, 0)
+        for name in ("ledgers", "transactions", "operations"):
+            counts[name] = writes.append(good[name], lake.tables, name)
+        append_ranged(contracts.detect(found), lake, "detected_contracts", ["contract_id", "created_ledger"], "created_ledger", low, high)
+        for name in ("token_events", "contract_events"):
+            counts[name] = writes.append(good[name], lake.tables, name)
+        trouble = hold(quarantined(bad))
+        counts["errors"] = trouble.count()
+        append_ranged(trouble, lake, "quarantine", ["source", "ledger", "row"], "ledger", low, high)
         set_cursor(spark, lake, seen)
         if publisher:
-            publisher(publish.ledger_messages(rows))
-            publisher(publish.transaction_messages(transactions))
-        rows.unpersist()
-        found.unpersist()
-        return dict(counted or {"ledgers": 0, "transactions": 0})
+            for messages in (publish.ledger_messages(good["ledgers"]), publish.transaction_messages(good["transactions"])):
+                try:
+                    publisher(messages)
+                except Exception:
+                    LOG.exception("messages of ledgers %s to %s weren't sent", low, high)
+                    counts["publish_errors"] += 1
+        row = spark.range(1, numPartitions=1).select(F.lit(low).alias("low"), F.lit(high).alias("high"), *(F.lit(counts[c]).cast("bigint").alias(c) for c in COUNTS), F.current_timestamp().alias("at"))
+        row.write.mode("append").parquet(f"{lake.tables}/ingest_counters")
+        return counts
     finally:
-        seen.unpersist()
+        for df in held:
+            df.unpersist()
+
+
+def append_ranged(rows: DataFrame, lake: Lake, table: str, keys: list[str], column: str, low: int, high: int) -> None:
+    """Adds the rows that a table without time partitions lacks, looking only at the batch's range of ledgers."""
+    there = lake.table(rows.sparkSession, table).filter(F.col(column).between(low, high))
+    writes.insert_if_absent(rows, there, keys).write.mode("append").parquet(f"{lake.tables}/{table}")
+
+
+def totals(spark: SparkSession, lake: Lake) -> DataFrame:
+    """One row: running totals of the counts of all batches, replays included."""
+    return lake.table(spark, "ingest_counters").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS))
+
+
+def put_state(lake: Lake, key: str, value: DataFrame) -> None:
+    """A new row of state, from a DataFrame of one row and column."""
+    row = value.toDF("value").select(F.lit(key).alias("key"), F.col("value").cast("string").alias("value"), F.current_timestamp().alias("updated_at"))
+    row.write.mode("append").parquet(f"{lake.tables}/ingestion_state")
 
 
 def set_cursor(spark: SparkSession, lake: Lake, seen: DataFrame) -> None:
     """A new row of state; the cursor is the greatest ever written, so it can't move back."""
-    top = seen.agg(F.max("sequence").cast("string").alias("value"))
-    top.select(F.lit(CURSOR).alias("key"), "value", F.current_timestamp().alias("updated_at")).write.mode("append").parquet(f"{lake.tables}/ingestion_state")
+    put_state(lake, CURSOR, seen.agg(F.max("sequence")))
 
 
 def start_sequence(spark: SparkSession, lake: Lake) -> int:
-    """Where a tail begins: after the cursor, or at the newest ledger on the first run."""
-    last = landing.cursor(lake.table(spark, "ingestion_state")).first()[0]
-    if last:
-        return last + 1
-    return landing.latest(spark.read.schema(LEDGERS_RAW).parquet(lake.ledgers)).first()[0] or 0
-
+    """Where a tail begins: what its first run found, which never changes after.
 
-def tail(spark: SparkSession, lake: Lake, checkpoint: str, *, files_per_batch: int = 100, once: bool = False, publisher: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Follows the landing folder; late ledgers are taken at any age, as each row has a key."""
+    The first run begins after the cursor, if ledgers were ingested before, or else at the newest ledger.
+    """
+    state = lake.table(spark, "ingestion_state")
+    told = state.filter(F.col("key") == TAIL_START).agg(F.min(F.col("value").cast("bigint"))).first()[0]
+    if told is not None:
+        return told
+    last = landing.cursor(state).first()[0]
+    start = last + 1 if last else landing.latest(spark.read.schema(LEDGERS_RAW).parquet(lake.ledgers)).first()[0] or 0
+    put_state(lake, TAIL_START, spark.range(1, numPartitions=1).select(F.lit(start)))
+    return start
+
+
+def tail(
+    spark: SparkSession, lake: Lake, checkpoint: str, *, files_per_batch: int = 100, every: str = "1 second", once: bool = False, publisher: Publisher | None = None
+) -> StreamingQuery:
+    """Follows the landing folder from the first run's start on.
+
+    Late ledgers are taken at any age, as each row has a key: whatever lies at or after the start that the first run
+    stored is ingested, in whatever order and after however many restarts it lands. Ledgers before it are history, which
+    ``backfill`` and ``repair`` read.
+    """
     start = start_sequence(spark, lake)
     rows = spark.readStream.schema(LEDGERS_RAW).option("maxFilesPerTrigger", files_per_batch).parquet(lake.ledgers).filter(F.col("sequence") >= start)
     writer = rows.writeStream.foreachBatch(lambda batch, _: process(spark, lake, batch, publisher) and None).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def backfill(spark: SparkSession, lake: Lake, start: int, end: int) -> dict[str, int]:
@@ -124,27 +179,46 @@ def repair(spark: SparkSession, lake: Lake, limit: int | None = 500) -> dict[str
     have = lake.table(spark, "ledgers")
     low, high = gaps.bounds(have, "sequence").first()
     if high <= low:
-        return {"ledgers": 0, "transactions": 0}
+        return dict.fromkeys(COUNTS, 0)
     ranges = gaps.contiguous_ranges(gaps.missing(have, "sequence", low, high, limit), "sequence")
+    # written, as what is missing changes while the batch adds it
+    ranges.write.mode("overwrite").parquet(f"{lake.tables}/_missing")
+    ranges = spark.read.schema("range_start bigint, range_end bigint").parquet(f"{lake.tables}/_missing")
     return process(spark, lake, gaps.rows_in_ranges(spark.read.schema(LEDGERS_RAW).parquet(lake.ledgers), ranges))
 
 
-def follow_contracts(spark: SparkSession, lake: Lake, instances: DataFrame, codes: DataFrame, metadata: DataFrame, checkpoint: str) -> StreamingQuery:
-    """A side stream over detected contracts; its failures never stop the main one."""
+def repair_regularly(spark: SparkSession, lake: Lake, checkpoint: str, *, every: str = "5 minutes", limit: int | None = 500) -> StreamingQuery:
+    """Runs ``repair`` at set times, beside a tail. A repair that fails is logged; the next one tries again."""
+
+    def tick(_: DataFrame, __: int) -> None:
+        try:
+            repair(spark, lake, limit)
+        except Exception:
+            LOG.exception("repair failed")
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def follow_contracts(spark: SparkSession, lake: Lake, instances: DataFrame, codes: DataFrame, metadata: DataFrame, checkpoint: str, *, contracts_per_batch: int = 100) -> StreamingQuery:
+    """A side stream over detected contracts, into contracts and their code; its failures never stop the main one.
+
+    Both tables are written as new versions, so a crash leaves whole ones, and a replayed batch gives the same again.
+    ``contracts_per_batch`` is in files of detections.
+    """
 
     def upsert(batch: DataFrame, _: int) -> None:
-        new = contracts.contract_rows(batch, instances, codes, metadata)
-        target = f"{lake.tables}/contracts"
+        new = contracts.contract_rows(batch, instances, codes, metadata).persist()
         try:
-            old = spark.read.parquet(target)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], table_schema("contracts"))
-        writes.upsert_contracts(old, new).write.mode("overwrite").parquet(f"{target}_next")
-        spark.read.parquet(f"{target}_next").write.mode("overwrite").parquet(target)
-
-    detected = spark.readStream.schema("contract_id string, created_ledger bigint, created_at timestamp").parquet(f"{lake.tables}/detected_contracts")
+            if new.isEmpty():
+                return
+            writes.replace(writes.upsert_contracts(lake.table(spark, "contracts"), new), lake.tables, "contracts")
+            code = contracts.code_rows(new, codes)
+            writes.replace(writes.upsert_codes(lake.table(spark, "contract_code"), code, lake.table(spark, "contracts")), lake.tables, "contract_code")
+        finally:
+            new.unpersist()
+
+    detected = spark.readStream.schema(table_schema("detected_contracts")).option("maxFilesPerTrigger", contracts_per_batch).parquet(f"{lake.tables}/detected_contracts")
     return detected.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

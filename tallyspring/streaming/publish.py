@@ -23,6 +23,6 @@ def json_arrays(df: DataFrame, key: str, order: list[str], fields: list[str]) ->
 
 def transaction_messages(transactions: DataFrame) -> DataFrame:
     """One array for each ledger that has transactions; nothing for others."""
-    fields = ["hash", "ledger_sequence", "account", "operation_count", "status", "is_contract"]
+    fields = ["hash", "ledger_sequence", "account", "operation_count", "status", "is_soroban"]
     arrays = json_arrays(transactions, "ledger_sequence", ["application_order", "hash"], fields)
     return arrays.select(F.lit(TRANSACTION_TOPIC).alias("topic"), F.col("key").cast("string").alias("key"), "value")

@@ -54,19 +54,16 @@ def landing(spark):
     return spark.createDataFrame([(json.dumps(row),)], "j string").select(F.from_json("j", TRANSACTIONS_RAW).alias("r")).select("r.*")
 
 
-def test_deep_values_go_to_quarantine(spark, tmp_path):
+def test_deep_values_go_to_quarantine(spark):
     good, bad = builders.contract_event_table(landing(spark), F.lit(bytearray(b"network")))
     assert [(r["event_ordinal"], r["topic_1"]) for r in good.collect()] == [(0, "[[[[a,a],a],a],a]")]
     assert sorted((r["event_ordinal"], r["reason"]) for r in bad.collect()) == [(1, "topics"), (2, "value"), (3, "value")]
-    lake = ingest.Lake("", "", str(tmp_path), b"network")
-    ingest.quarantine(bad, lake, "contract_events")
-    told = spark.read.parquet(f"{tmp_path}/quarantine").orderBy("row").collect()
+    told = ingest.quarantined({"contract_events": bad}).orderBy("row").collect()
     assert len(told) == 3 and all('"symbol"' in r["row"] for r in told)
 
 
-def test_deep_predicates_go_to_quarantine(spark, tmp_path):
+def test_deep_predicates_go_to_quarantine(spark):
     good, bad = builders.operation_table(landing(spark), F.lit(bytearray(b"network")))
     assert [r["application_order"] for r in good.collect()] == [1]
     assert [(r["pos"], r["reason"]) for r in bad.collect()] == [(1, "predicate")]
-    ingest.quarantine(bad, ingest.Lake("", "", str(tmp_path), b"network"), "operations")
-    assert '"predicate"' in spark.read.parquet(f"{tmp_path}/quarantine").first()["row"]
+    assert '"predicate"' in ingest.quarantined({"operations": bad}).first()["row"]

@@ -39,7 +39,8 @@ def test_listings_and_intervals(spark):
     at = datetime.datetime(2024, 1, 1)
     rows = spark.createDataFrame([(i, at + datetime.timedelta(seconds=5 * i)) for i in range(10)], "sequence bigint, closed_at timestamp")
     assert [r["sequence"] for r in rollups.newest(rows, "closed_at").collect()] == [9, 8, 7, 6, 5]
-    assert rollups.mean_close_seconds(rows).first()["avg_close_seconds"] == 5.0
+    gaps = rollups.close_gaps(rows, bucket=4)
+    assert [r["gap"] for r in gaps.collect()] == [5] * 9
 
 
 def test_new_columns_are_null_in_old_rows(spark):
