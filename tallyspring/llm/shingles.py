@@ -68,14 +68,22 @@ def shingled(texts: pa.Array) -> Shingled:
     return Shingled(keys & MASK, times, np.concatenate([[0], ends]).astype(np.int64), digests, n)
 
 
-def levels(times: np.ndarray, document_share: np.ndarray, n_documents: float, floor: float) -> np.ndarray:
-    """The weight (1 + ln times) * damped idf, as powers of ``STEP``.
+#: The least part of its weight that a frequent shingle keeps, and the most that repeats inside a text add.
+FLOOR, GAIN = 0.8, 0.25
+#: Shingles in at most this share of all documents count as rare, alike at every number of documents.
+RARE = 1e-3
 
-    ``idf`` is ln(1 + n / df) / ln(1 + n); it moves a weight between ``floor`` and 1 only, so that a large group of
-    near copies, whose own shingles are frequent for that reason, still is one.
+
+def levels(times: np.ndarray, share: np.ndarray, n_documents: float) -> np.ndarray:
+    """Damped TF-IDF weights, tf * (FLOOR + (1 - FLOOR) * idf), as powers of ``STEP``.
+
+    ``idf`` is ln(1 + 1 / share), with a rare shingle's as 1; ``tf`` is 1 + GAIN * (1 - 1 / (1 + ln times)). Both are
+    damped so that a large group of near copies, whose own shingles are frequent for that reason, still is one, and that
+    texts which differ in how often they repeat a line stay near.
     """
-    idf = np.log1p(n_documents / np.maximum(document_share, 1)) / np.log1p(max(n_documents, 1))
-    weight = (1 + np.log(times)) * (floor + (1 - floor) * np.minimum(idf, 1))
+    rare = max(RARE, 1 / max(n_documents, 1))
+    idf = np.log1p(1 / np.maximum(share, rare)) / np.log1p(1 / rare)
+    weight = (1 + GAIN * (1 - 1 / (1 + np.log(times)))) * (FLOOR + (1 - FLOOR) * idf)
     return np.rint(np.log(weight) / np.log(STEP)).astype(np.int64)
 
 

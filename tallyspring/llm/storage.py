@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of its own is taken only where that is unset, as in tests."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a folder of its own is made, but only for a master
+    that runs in one process, as in tests; executors of a cluster couldn't read it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application under ``spark.checkpoint.dir``; it goes when the driver ends."""
+    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written as a table to the shared folder and read from there.
+
+    A table, and not ``checkpoint()``: its columns are read as needed, and the optimizer starts anew on it, while the
+    constraints that a checkpoint keeps grow from one to the next until planning takes longer than the work.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -307,29 +307,76 @@ def test_samples_agree_as_often_as_sets_are_alike():
     assert abs((s[0] == s[1]).mean() - expected) < 0.05
 
 
-def test_near_duplicates(spark, none, odd):
+def weights_of(texts):
+    """Damped TF-IDF weights of five-word shingles, plainly, over all texts."""
+    counts = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        counts[i] = collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else {}
+    df = collections.Counter(s for c in counts.values() for s in c)
+    n, out = len(texts), {}
+    for i, c in counts.items():
+        shares = np.array([df[s] / n for s in c])
+        level = shingles.levels(np.array(list(c.values())), shares, n) if c else []
+        out[i] = dict(zip(c, shingles.STEP ** np.asarray(level, float), strict=True))
+    return out
+
+
+def plain_groups(texts):
+    """The smallest id of each document's group, by comparing all pairs."""
+    weights = weights_of(texts)
+    parent = {i: i for i in texts}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in texts:
+        for b in texts:
+            if a < b and weights[a] and weights[b]:
+                common = sum(min(w, weights[b][s]) for s, w in weights[a].items() if s in weights[b])
+                if common >= 0.8 * (sum(weights[a].values()) + sum(weights[b].values()) - common) - 1e-9:
+                    p, q = find(a), find(b)
+                    parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in texts}
+
+
+@pytest.fixture(scope="module")
+def families():
+    """Groups of near copies with more and more edits, some with a line of their own that repeats."""
     rng = np.random.default_rng(6)
     vocabulary = [f"w{i}" for i in range(3000)]
-    texts, rows = {}, []
-    for g in range(40):
+    texts = {}
+    for g in range(25):
         base = list(rng.choice(vocabulary, 150))
-        for k in range(8):
+        for k in range(10):
             words = list(base)
-            for _ in range(k % 5):
+            for _ in range(k % 7):
                 words[int(rng.integers(150))] = f"edit{rng.integers(10**6)}"
-            texts[g * 100 + k] = " ".join(words)
-    rows = list(texts.items())
-    found = {r["doc_id"]: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(146)} for i, t in texts.items()}
-    parent = {i: i for i in texts}
-    find = lambda x: x if parent[x] == x else find(parent[x])
-    for a in texts:
-        for b in texts:
-            if a < b and a // 100 == b // 100 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                p, q = find(a), find(b)
-                parent[max(p, q)] = min(p, q)
-    for i in texts:
-        assert found[i]["class_id"] == find(find(i)) and found[i]["kept"] == (i == found[i]["class_id"])
+            texts[g * 100 + k] = " ".join(words) + (" this line comes again and again" * (g % 4))
+    return texts
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark, families):
+    found = {r["doc_id"]: r for r in near_duplicates(spark.createDataFrame(list(families.items()), "doc_id bigint, text string").repartition(5)).collect()}
+    expected = plain_groups(families)
+    assert {i: r["class_id"] for i, r in found.items()} == expected
+    assert all(r["kept"] == (i == r["class_id"]) for i, r in found.items())
+
+
+def test_near_duplicates_over_many_blocks(spark, families, monkeypatch):
+    from tallyspring.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(families.items()), "doc_id bigint, text string")).collect()}
+    assert found == plain_groups(families)
+
+
+def test_ids_with_several_texts_are_several_documents(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, one), (1, two), (1, two), (2, one.replace("a50 ", "x ")), (3, two), (4, two.replace("b50 ", "y "))]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in found) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False)]
+    assert len({r["text_key"] for r in found if r["kept"]}) == 2
+
+
+def test_near_duplicates_of_odd_rows(spark, none, odd):
     told = [(r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(odd).collect()]
     assert len(told) == 12  # the repeated row is one document
     assert {t[0]: t[1] for t in told} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, None: None, 7: 7, 8: 7, 9: 7, 10: 10, 11: 11, 12: 12}
