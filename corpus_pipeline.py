@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspring.llm import langid
-from tallyspring.llm.minhash import near_duplicates
+from tallyspring.llm.minhash import near_duplicates, text_key
 from tallyspring.llm.mixing import mix
 from tallyspring.llm.packing import pack
 from tallyspring.llm.secrets import scan
 from tallyspring.llm.storage import shared_folder
+from tallyspring.llm.words import whole_rows
 
 #: A document whose main language has a smaller share of its letters is rejected.
 LEAST_SHARE = 0.5
@@ -31,10 +32,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, and one of rows that repeat. Documents without an id stay."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """Keeps one document of each group of near copies, and one of rows that repeat. Documents without an id stay.
+
+    Rows with one id and different texts are different documents.
+    """
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    keyed = whole_rows(docs).select("row", F.col("row.doc_id").alias("id"), text_key(F.col("row.text")).alias("key"))
+    named = keyed.join(kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return named.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
