@@ -7,8 +7,9 @@
 3. Nodes that share a band of samples are a bucket. Of the first nodes of its buckets, a node is verified against the
    one that most of its samples agree with. That settles groups of near copies with one comparison for each node.
 4. What is left are buckets with nodes of several components. There, and only between components, all samples are
-   compared, and the clusters that this gives are compared exactly, by products of sparse blocks. Rows are dealt to
-   tasks of bounded size; the largest component of a bucket or cluster is never compared with itself.
+   compared, each pair in the first band that it shares, and the nodes of pairs that agree are compared exactly, by
+   products of sparse blocks. Rows are dealt to tasks of bounded size; the largest component of a bucket is never
+   compared with itself.
 5. Components of the verified links are the groups.
 """
 
@@ -145,9 +146,9 @@ def buckets(nodes: DataFrame) -> DataFrame:
     """(key, node) of the bands that several nodes share, and the first node of each as hub."""
     width = 4 * ROWS
     keys = F.array(*(F.substring("samples", i * width + 1, width) for i in range(BANDS)))
-    banded = nodes.select("node", F.posexplode(keys).alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
+    banded = nodes.select("node", F.posexplode(keys).alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("key"))
     crowded = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").select(F.col("key").alias("key2"), "hub"))
-    return cut(banded.join(crowded, F.col("key") == F.col("key2")).select("key", "node", "hub"))
+    return cut(banded.join(crowded, F.col("key") == F.col("key2")).select("key", "band", "node", "hub"))
 
 
 def hub_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def shingle_sets(docs: DataFrame, firsts: DataFrame, which: DataFrame, weights:
             sets = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (s.hashes, level)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.n_words.astype(np.int64)), *sets], names=["node", "n_words", "hashes", "levels"])
 
-    wanted = cut(firsts.join(which.select("node").distinct(), "node"))
+    wanted = firsts.join(which.select("node").distinct(), "node")
     keyed = docs.select("doc_id", "text", *text_hashes(F.col("text")))
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
     # rows that repeat would give their set again
@@ -308,35 +309,44 @@ def dealt(rows: DataFrame, unit: Column) -> DataFrame:
     return placed.select(*rows.columns, tasks).select(*rows.columns, "task.*")
 
 
-def forests(dealt_rows: DataFrame, links_of) -> DataFrame:
-    """(a, b): spanning forests of the links between different components, in each task and group.
+def in_groups(dealt_rows: DataFrame, links_of, told_of, schema: str) -> DataFrame:
+    """What ``told_of`` makes of the links between different components, in each task and group.
 
-    ``links_of`` gives the Boolean matrix of the links of some rows of a task's table.
+    ``links_of`` gives the Boolean matrix of the links of some rows of a task's table; ``told_of`` gives columns from
+    the task's table, the rows and the links.
     """
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, groups, comps = (table.column(c).to_numpy() for c in ("node", "group", "comp"))
         order = np.lexsort((nodes, groups))
-        a, b = [], []
+        out: list[tuple] = []
         for rows in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
             own = comps[rows]
             apart = own[:, None] != own[None, :]
-            if not apart.any():
-                continue
-            for u, v in spanning(links_of(table, rows) & apart):
-                a.append(nodes[rows[u]]), b.append(nodes[rows[v]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if apart.any() and (links := links_of(table, rows) & apart).any():
+                out += told_of(groups[rows], nodes[rows], own, links)
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
 
-    return dealt_rows.groupBy("bin", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return dealt_rows.groupBy("bin", "i", "j").applyInArrow(compare, schema)
 
 
 def alike_samples(table: pa.Table, rows: np.ndarray) -> np.ndarray:
+    """Pairs with enough agreeing samples, in the first band that they share."""
     column = table.column("samples").to_pylist()
     samples = np.array([np.frombuffer(column[k], np.uint32) for k in rows])
-    agree = np.zeros((len(rows), len(rows)), np.uint8)
-    for k in range(samples.shape[1]):
-        agree += samples[:, k][:, None] == samples[:, k][None, :]
-    return agree >= ALIKE
+    agree, before = np.zeros((len(rows), len(rows)), np.uint8), np.zeros((len(rows), len(rows)), bool)
+    band = table.column("band")[int(rows[0])].as_py()
+    for k in range(BANDS):
+        same = np.ones_like(before)
+        for x in samples[:, k * ROWS : (k + 1) * ROWS].T:
+            equal = x[:, None] == x[None, :]
+            agree += equal
+            same &= equal
+        if k < band:
+            before |= same
+    return (agree >= ALIKE) & ~before
 
 
 def alike_sets(table: pa.Table, rows: np.ndarray) -> np.ndarray:
@@ -353,24 +363,42 @@ def with_component(rows: DataFrame, groups: DataFrame, node: str = "node", name:
     return rows.join(known, F.col(node) == F.col("known"), "left").withColumn(name, F.coalesce("its", node)).drop("known", "its")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of every node of a forest, given as (a, b) with the one smaller node b that each a hangs on.
+
+    Every round halves the way to the root. Only counts come to the driver.
+    """
+    now = cut(parents.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    while True:
+        above = now.select(F.col("node").alias("known"), F.col("component").alias("its"))
+        moved = now.join(above, F.col("component") == F.col("known"), "left")
+        moved = cut(moved.select("node", F.coalesce("its", "component").alias("component"), F.col("its").isNotNull().alias("moved")))
+        if moved.filter("moved").isEmpty():
+            return now.union(now.select(F.col("component").alias("node"), "component").distinct())
+        now = moved.drop("moved")
+
+
 def verified_groups(docs: DataFrame, nodes: DataFrame, weights: Weights) -> DataFrame:
     """(node, component) of the nodes with links. ``nodes``: node, first (id and hashes of a text), n_words, samples."""
     members = buckets(nodes)
-    near = hub_pairs(members, nodes)
-    best = cut(near.groupBy("node").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub")))
+    best = cut(hub_pairs(members, nodes).groupBy("node").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub")))
     sets = shingle_sets(docs, nodes.select("node", "first"), best.select("node").union(best.select("hub")), weights)
-    links = cut(verified(best, sets))
-    groups = cut(components(links))
+    hung = cut(roots(verified(best, sets)))
 
-    told = cut(with_component(members.select("key", "node"), groups))
+    told = cut(with_component(members.select("key", "band", "node"), hung))
     open_ = told.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select(F.col("key").alias("key2"))
-    rows = told.join(open_, F.col("key") == F.col("key2")).select(F.col("key").alias("group"), "node", "comp").join(nodes.select("node", "samples"), "node")
-    loose = cut(forests(dealt(rows.select("group", "node", "comp", "samples"), F.lit(1.0 / BLOCK_ROWS)), alike_samples))
-    clusters = components(loose)
-    rows = with_component(clusters.select("node", F.col("component").alias("group")), groups)
+    rows = told.join(open_, F.col("key") == F.col("key2")).select(F.col("key").alias("group"), "band", "node", "comp").join(nodes.select("node", "samples"), "node")
+    with_links = lambda groups, those, comps, links: [(int(groups[0]), int(those[k]), int(comps[k])) for k in np.flatnonzero(links.any(1))]
+    rows = dealt(rows.select("group", "band", "node", "comp", "samples"), F.lit(1.0 / BLOCK_ROWS))
+    rows = cut(in_groups(rows, alike_samples, with_links, "group bigint, node bigint, comp bigint").distinct())
     sets = shingle_sets(docs, nodes.select("node", "first"), rows, weights)
     rows = rows.join(sets, "node").select("group", "node", "comp", "n_words", "hashes", "levels")
-    return components(cut(links.union(forests(dealt(rows, set_unit()), alike_sets))))
+    forest = lambda groups, those, comps, links: [(int(comps[u]), int(comps[v])) for u, v in spanning(links)]
+    joined = components(in_groups(dealt(rows, set_unit()), alike_sets, forest, "a bigint, b bigint"))
+    # components of the forest that links between them join, and nodes that hung on nothing
+    moved = joined.select(F.col("node").alias("known"), F.col("component").alias("its"))
+    both = hung.join(moved, F.col("component") == F.col("known"), "left").select("node", F.coalesce("its", "component").alias("component"))
+    return both.union(joined.join(hung.select("node"), "node", "left_anti").select("node", "component"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
