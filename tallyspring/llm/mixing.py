@@ -1,8 +1,9 @@
 """Mixing of sources to target weights by weighted fair queueing.
 
-The documents of a source stand in a shuffled queue that repeats after its end. A document's virtual finish time
-is the size of its source's queue up to and with it, divided by the source's target; the mix takes documents in
-the order of finish times, over all sources, until its budget is spent.
+The documents of a source stand in a shuffled queue that repeats after its end; long ones are served in packets. A
+packet's virtual finish time is the size of its source's queue up to and with it, divided by the source's target; the
+mix takes packets in the order of finish times, over all sources, until its budget is spent. Nothing else decides what
+is taken: a source comes near its target because its packets up to there finish before time 1.
 
 Prefix sums of a queue run in two steps, over hash buckets whose number follows the source's rows, so a source
 with a third of all rows is spread over as many tasks as any other rows. Only ids, sources and sizes move.
@@ -22,6 +23,8 @@ BUCKET_ROWS = 2000
 MOST_BUCKETS = 65536
 #: Sources up to which their statistics are sent to all tasks; more are joined by shuffle.
 BROADCAST_SOURCES = 2000
+#: Words of a packet at most: how near a source comes to its target.
+PACKET = 128
 
 
 def word_count(text: Column) -> Column:
@@ -64,14 +67,15 @@ def mix(
     """One row per input row: id, source, size, source_size, target, taken, first_at, again_at.
 
     ``taken`` counts the words that the mix takes of the row, repeats included: at most ``most`` times its size.
-    The document at which a source's target ends is taken in part. ``first_at`` and ``again_at`` are the places, in
+    The document at which the budget ends a source's part is taken in part. ``first_at`` and ``again_at`` are the places, in
     words, of the document's first and second copy in the mix; null where it isn't taken. Rows of size 0 are never
     taken. Null is a source like others. Ids may be null or repeat; rows that are equal in id, source and size get
     places in no set order, so reruns agree as sets of rows. An empty table gives an empty result.
     """
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    slim = cut(slim.withColumn("h", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")))
+    # rows without an id, or with one id, still are spread by their texts
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text_col)), F.lit(""))))
+    h = F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("h")
+    slim = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h))
     stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     stats = cut(targets(stats, weights=weights, share=share, most=most))
     buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("n_rows") / BUCKET_ROWS)).cast("long")
@@ -88,18 +92,22 @@ def mix(
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     placed = queued.withColumn("n", F.row_number().over(inside)).withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-    placed = cut(placed.select("doc_id", "source", "size", "source_size", "target", "due", "bucket", "n", (F.col("ahead") + F.col("inside")).alias("start")))
-
-    copies = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))))
-    copies = copies.withColumn("begin", F.col("round") * F.col("source_size") + F.col("start"))
-    copies = copies.withColumn("part", F.least("size", F.col("due") - F.col("begin"))).filter("part > 0")
-    copies = copies.withColumn("finish", F.try_divide(F.col("begin") + F.col("part"), F.col("due")))
-    copies = copies.select("source", "bucket", "n", "round", "part", "finish").withColumn("slot", F.least(F.floor(F.col("finish") * slots), F.lit(slots - 1)))
+    placed = cut(placed.select("doc_id", "source", "size", "source_size", "target", "bucket", "n", (F.col("ahead") + F.col("inside")).alias("start")))
+
+    queue_end = F.floor(F.col("source_size") * F.lit(float(most))).cast("long")
+    copies = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1)))).filter("size > 0")
+    copies = copies.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long"))))
+    copies = copies.withColumn("begin", F.col("round") * F.col("source_size") + F.col("start") + F.col("piece"))
+    copies = copies.withColumn("part", F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("piece"), queue_end - F.col("begin"))).filter("part > 0")
+    copies = copies.withColumn("finish", F.try_divide((F.col("begin") + F.col("part")).cast("double"), F.col("target"))).filter("finish IS NOT NULL")
+    # the budget is spent at about time 1, so nothing after time 2 needs an order
+    copies = copies.select("source", "bucket", "n", "round", "piece", "part", "finish").withColumn("slot", F.floor(F.least("finish", F.lit(2.0)) * slots))
     by_slot = copies.groupBy("slot").agg(F.sum("part").alias("slot_size"))
     by_slot = by_slot.select(F.col("slot").alias("slot2"), F.coalesce(F.sum("slot_size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("slot_ahead"))
-    in_slot = Window.partitionBy("slot").orderBy("finish", "source", "bucket", "n", "round").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_ = copies.withColumn("inside", F.sum("part").over(in_slot) - F.col("part"))
-    sorted_ = sorted_.join(F.broadcast(by_slot), F.col("slot") == F.col("slot2")).withColumn("at", F.col("slot_ahead") + F.col("inside"))
+    by_slot = cut(by_slot.filter(F.col("slot_ahead") < budget))
+    live = copies.join(F.broadcast(by_slot), F.col("slot") == F.col("slot2"))
+    in_slot = Window.partitionBy("slot").orderBy("finish", "source", "bucket", "n", "round", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = live.withColumn("at", F.col("slot_ahead") + F.sum("part").over(in_slot) - F.col("part"))
     sorted_ = sorted_.withColumn("part", F.least(F.col("part"), F.lit(budget) - F.col("at"))).filter("part > 0")
     mixed = sorted_.groupBy(F.col("source").alias("s2"), F.col("bucket").alias("b2"), F.col("n").alias("n2")).agg(
         F.sum("part").alias("taken"), F.min(F.when(F.col("round") == 0, F.col("at"))).alias("first_at"), F.min(F.when(F.col("round") > 0, F.col("at"))).alias("again_at")
