@@ -27,10 +27,12 @@ from tallyspring.llm.storage import cut
 COSINE = 0.98
 PROJECTIONS, RECALL = 48, 0.9995
 #: Rows of a block, and of a cell that isn't cut by a further projection, on average.
-BLOCK, CELL = 512, 4096
+BLOCK, CELL = 512, 2048
 #: Distance of unit vectors at the least cosine, and the window as a multiple of it.
 DISTANCE = math.sqrt(2 - 2 * COSINE)
-WINDOW = 1.5 * DISTANCE
+WINDOW = 0.5 * DISTANCE
+#: Window entries that are gathered at once.
+ENTRIES = 1 << 21
 
 
 def passing_count(n: int, p: float, recall: float) -> int:
@@ -73,15 +75,26 @@ def cells_of(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def collisions(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of the projections of queries and rows: in how many a row lies in the query's window."""
-    out = np.zeros((len(queries), len(rows)), np.int16)
+    """Of the projections of queries and rows: in how many a row lies in the query's window.
+
+    Only what lies in a window is touched: the sorted rows between a window's two ends, for every query.
+    """
+    n, m = len(queries), len(rows)
+    out, waiting, held = np.zeros(n * m, np.int64), [], 0
     for q, r in zip(queries.T, rows.T, strict=True):
         order = np.argsort(r)
         low, high = np.searchsorted(r[order], q - WINDOW), np.searchsorted(r[order], q + WINDOW, "right")
-        rank = np.empty(len(r), np.int64)
-        rank[order] = np.arange(len(r))
-        out += (rank >= low[:, None]) & (rank < high[:, None])
-    return out
+        inside = high - low
+        ends = np.cumsum(inside)
+        at = np.arange(ends[-1]) + np.repeat(low - (ends - inside), inside)
+        waiting.append(np.repeat(np.arange(n) * m, inside) + order[at])
+        held += len(at)
+        if held >= ENTRIES:
+            out += np.bincount(np.concatenate(waiting), minlength=n * m)
+            waiting, held = [], 0
+    if held:
+        out += np.bincount(np.concatenate(waiting), minlength=n * m)
+    return out.reshape(n, m)
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -112,14 +125,16 @@ def link_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     Vectors with equal labels, equal lengths and a cosine of 0.98 or more are linked; ``n_links`` counts the other rows
     linked directly, ``component_id`` is the smallest id reachable. Vectors that are null, zero, or hold null or
-    non-finite components, and those without a label, have no links. Repeated rows are linked like others. A row
-    without an id has no links and comes back with a null component and kept. Other columns are left out.
+    non-finite components, and those without a label, have no links. Repeated rows are linked like others; an id with several
+    vectors is several rows, each with the links of its own vector. A row without an id has no links and comes back with a null component and kept. Other columns are left out.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     keyed = rows.filter("ok").withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
     same = ["label", "dim", "h1", "h2"]
-    classes = cut(keyed.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v")))
+    classes = cut(keyed.groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("size"), F.first("v").alias("v")))
+    # a class is known by a number of its own, as an id may have several vectors; numbers are written with their rows
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     largest = classes.groupBy("label", "dim").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(largest / CELL))) if largest else 0
     tables = tables_for(bits)
@@ -182,8 +197,11 @@ def link_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     found = cut(tasks.groupBy(*key, "i", "j").applyInArrow(compare, "a bigint, b bigint, n bigint"))
     degrees = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     groups = components(found.filter("b is not null").select("a", "b"))
-    known = classes.join(degrees, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = cut(known.select(*(F.col(c).alias(f"k_{c}") for c in same), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    known = classes.drop("v").join(degrees, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    known = cut(known)
+    smallest = known.groupBy(F.col("component").alias("c2")).agg(F.min("first").alias("component_id"))
+    known = known.join(smallest, F.col("component") == F.col("c2"))
+    known = cut(known.select(*(F.col(c).alias(f"k_{c}") for c in same), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
     joined = keyed.select("vec_id", *same).join(known, [F.col(c) == F.col(f"k_{c}") for c in same]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = joined.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
