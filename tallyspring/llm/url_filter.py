@@ -86,19 +86,21 @@ def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules
     host, path = host_and_path(url)
     rows = df.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", matching(rules, lambda r: r.rule)).withColumn("by_rule", matching(rules, lambda r: r.verdict))
-    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1))
+    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("h", F.xxhash64("url"))
+    # a labelled URL's suffix rate leaves out the labels of its own half, its own among them
+    half = F.pmod("h", F.lit(2))
     blocked, known = (F.col("by_rule") == "block").cast("int"), F.col("by_rule").isNotNull().cast("int")
-    stats = cut(rows.groupBy("suffix", "host").agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked"), F.sum(known).alias("known")).groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum("blocked").alias("blocked"), F.sum("known").alias("known")))
-    total = stats.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    n_suffixes, n_urls, n_known, n_blocked = total
-    stats = stats.select(
-        F.col("suffix").alias("suffix2"),
-        (F.col("n") / max(n_urls, 1)).alias("suffix_share"),
-        F.col("hosts").alias("suffix_hosts"),
-        ((F.coalesce("blocked", F.lit(0)) + 1) / (F.coalesce("known", F.lit(0)) + 2)).alias("suffix_block_rate"),
-    )
+    by_half = {f"{name}{k}": F.sum(F.when(half == k, c)) for name, c in (("blocked", blocked), ("known", known)) for k in (0, 1)}
+    by_host = rows.groupBy("suffix", "host").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in by_half.items()))
+    sums = (F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n", *by_half))
+    stats = cut(by_host.groupBy("suffix").agg(F.count("*").alias("hosts"), *sums))
+    n_suffixes, n_urls, n_known, n_blocked = stats.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", F.col("known0") + F.col("known1"), F.col("blocked0") + F.col("blocked1")))).first()
+    stats = stats.select(F.col("suffix").alias("suffix2"), (F.col("n") / max(n_urls, 1)).alias("suffix_share"), F.col("hosts").cast("double").alias("suffix_hosts"), *by_half)
     stats = F.broadcast(stats) if n_suffixes <= BROADCAST_SUFFIXES else stats
-    ready = rows.join(stats, F.col("suffix") == F.col("suffix2"), "left").select("page_id", "host", "path", "rule", "by_rule", *(c.cast("double").alias(n) for n, c in lexical(F.col("url")).items()), F.xxhash64("url").alias("h"), F.coalesce("suffix_share", F.lit(0.0)).alias("suffix_share"), F.coalesce("suffix_hosts", F.lit(0)).cast("double").alias("suffix_hosts"), F.coalesce("suffix_block_rate", F.lit(0.5)).alias("suffix_block_rate"))
+    other = lambda name: F.when(F.col("by_rule").isNull(), F.col(f"{name}0") + F.col(f"{name}1")).when(half == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    rate = ((other("blocked") + 1) / (other("known") + 2)).alias("suffix_block_rate")
+    features = [c.cast("double").alias(n) for n, c in lexical(F.col("url")).items()]
+    ready = rows.join(stats, F.col("suffix") == F.col("suffix2")).select("page_id", "host", "path", "rule", "by_rule", "h", *features, "suffix_share", "suffix_hosts", rate)
     if not 0 < n_blocked < n_known:
         judged = ready.withColumn("block_score", F.lit(0.0))
     else:
