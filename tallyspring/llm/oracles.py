@@ -7,7 +7,7 @@ from tallyspring.llm.quality import STOP_WORDS, THRESHOLDS
 MIXING = r"""
 WITH slim AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 15))::BIGINT AS h FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM slim GROUP BY source),
 ranked AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM by_source),
 levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -15,13 +15,13 @@ levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, sou
 free AS (SELECT arg_min(level, cap / weight) AS free FROM levels WHERE cap > level * weight),
 stats AS (SELECT source AS s2, source_size, CASE WHEN free IS NULL THEN cap ELSE least(cap, free * weight) END AS target, least(65536, ceil(n_rows / 2000.0))::BIGINT AS buckets FROM levels, free),
 dues AS (SELECT *, floor(target + 0.5)::BIGINT AS due FROM stats),
-totals AS (SELECT least(65536, 2 * sum(buckets))::DOUBLE AS slots, sum(due)::BIGINT AS budget FROM dues),
+totals AS (SELECT sum(due)::BIGINT AS budget FROM dues),
 queued AS (SELECT *, h % buckets AS bucket FROM slim JOIN dues ON source IS NOT DISTINCT FROM s2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY h, doc_id NULLS FIRST, size) AS n,
   (sum(size) OVER (PARTITION BY source ORDER BY bucket, h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM queued),
-copies AS (SELECT source, bucket, n, k AS round, least(size, due - (k * source_size + start)) AS part, k * source_size + start AS begin_, due FROM placed, (VALUES (0), (1)) v(k)),
-live AS (SELECT *, (begin_ + part)::DOUBLE / due::DOUBLE AS finish FROM copies WHERE part > 0),
-ordered AS (SELECT *, (sum(part) OVER (ORDER BY finish, source NULLS FIRST, bucket, n, round ROWS UNBOUNDED PRECEDING) - part)::BIGINT AS pos FROM live),
+copies AS (SELECT source, bucket, n, k AS round, o AS piece, least(128, size - o)::BIGINT AS part, k * source_size + start + o AS begin_, target FROM placed, (VALUES (0), (1)) v(k), unnest(range(0, size, 128)) u(o)),
+live AS (SELECT *, (begin_ + part)::DOUBLE / target AS finish FROM copies WHERE target > 0),
+ordered AS (SELECT *, (sum(part) OVER (ORDER BY finish, source NULLS FIRST, bucket, n, round, piece ROWS UNBOUNDED PRECEDING) - part)::BIGINT AS pos FROM live),
 cut AS (SELECT *, least(part, budget - pos) AS got FROM ordered, totals),
 mixed AS (SELECT source AS s3, bucket AS b3, n AS n3, sum(got)::BIGINT AS taken, min(pos) FILTER (round = 0) AS first_at, min(pos) FILTER (round > 0) AS again_at FROM cut WHERE got > 0 GROUP BY ALL)
 SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken, first_at, again_at
@@ -64,7 +64,8 @@ again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM again) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
-  len(list_filter(w, lambda x: list_contains({STOP_WORDS!r}, x)))::BIGINT AS n_stop_words, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+  len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]')))::BIGINT AS n_latin_words,
+  len(list_filter(w, lambda x: list_contains({STOP_WORDS!r}, regexp_replace(lower(x), '\P{{L}}+', '', 'g'))))::BIGINT AS n_stop_words, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
   len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines
   FROM d LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)

@@ -11,13 +11,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent function words of the languages that the rules know.
-STOP_WORDS = (
+#: Frequent function words of languages in Latin script, in lower case, letters only.
+STOP_WORDS = sorted(set((
     "the of and to a in is that for it was on with be as by are this "
     "de la le et les des en un une du que est pour qui dans "
     "der die und den von zu das mit auf sich für ist im ein eine nicht "
-    "el y los se del las por no con una su es para al"
-).split()
+    "el y los se del las por no con una su es para al "
+    "il di che non per sono della o os da em não uma um mais com "
+    "het een van en dat niet op zijn te i w na z się nie do jest och att som det är på "
+    "og af til ikke ja ei on että bir ve bu da için si nu cu din v na je že se az és hogy nem"
+).split()))
+
 
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -25,7 +29,7 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """Fails a text of at least ``from_words`` words when ``factor * part`` is outside ``least * whole`` to ``most * whole``."""
+    """Fails a text of at least ``from_words`` words (as counted in ``words``) when ``factor * part`` is outside ``least * whole`` to ``most * whole``."""
 
     name: str
     part: str
@@ -34,6 +38,7 @@ class Rule:
     most: int | None = None
     factor: int = 100
     from_words: int = 0
+    words: str = "n_words"
 
 
 #: The verdict beyond the base rules. Ratios are in hundredths.
@@ -41,7 +46,8 @@ THRESHOLDS = (
     Rule("mean word length", "word_chars", "n_words", least=200, most=1200),
     Rule("symbols for each word", "n_symbols", "n_words", most=10),
     Rule("words with a letter", "n_letter_words", "n_words", least=80),
-    Rule("stop words", "n_stop_words", "n_words", least=1, from_words=60),
+    # other scripts have no list, so the rule looks at words in Latin script only
+    Rule("stop words", "n_stop_words", "n_latin_words", least=1, from_words=60, words="n_latin_words"),
     Rule("repeated lines", "n_dup_lines", "n_lines", most=50),
     Rule("lines that end in an ellipsis", "n_ellipsis_lines", "n_lines", most=30),
     Rule("lines that start with a bullet", "n_bullet_lines", "n_lines", most=90),
@@ -94,7 +100,8 @@ def measures(text: Column) -> Column:
             repeated_words(d["words"]).cast("long").alias("n_repeat_words"),
             F.size(d["lines"]).cast("long").alias("n_lines"),
             size(d["words"], lambda w: F.rlike(w, F.lit(r"\p{L}"))).alias("n_letter_words"),
-            size(d["words"], lambda w: w.isin(STOP_WORDS)).alias("n_stop_words"),
+            size(d["words"], lambda w: F.rlike(w, F.lit(r"[A-Za-z]"))).alias("n_latin_words"),
+            size(d["words"], lambda w: F.regexp_replace(F.lower(w), r"\P{L}+", "").isin(STOP_WORDS)).alias("n_stop_words"),
             size(d["lines"], lambda x: F.rlike(x, F.lit(r"(\.\.\.|…)[ \t-\r]*$"))).alias("n_ellipsis_lines"),
             size(d["lines"], lambda x: F.rlike(x, F.lit(r"^[ \t-\r]*[-*•]"))).alias("n_bullet_lines"),
         )
@@ -112,7 +119,7 @@ def compiled(rules: tuple[Rule, ...], m: Column) -> Column:
             holds = holds & (part >= whole * F.lit(r.least))
         if r.most is not None:
             holds = holds & (part <= whole * F.lit(r.most))
-        ok = ok & (holds | (m["n_words"] < F.lit(r.from_words)))
+        ok = ok & (holds | (m[r.words] < F.lit(r.from_words)))
     return ok
 
 
