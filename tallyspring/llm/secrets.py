@@ -50,7 +50,7 @@ KEY = (
 MORE = (
     Rule("bearer", r"(?i:authorization)[\"']?\x20*[:=]\x20*[\"']?(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 16),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("key", KEY),
     Rule("login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/@]+)@[A-Za-z0-9.-]+", 1, 6),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
