@@ -1,8 +1,7 @@
 """Language identification: script ranges, per-word scores and a Viterbi path with a switching penalty.
 
 The model is learned with Spark from labelled documents: counts of the character trigrams of words, and the scripts
-in which a language is written. Its size is bounded by documented parameters, so it is collected and sent to the
-tasks. A word is scored only for the languages of its script. The Viterbi path over a text's words gives spans of
+in which a language is written. It is learned from a sample of bounded size, so it is collected and sent to the tasks. A word is scored only for the languages of its script. The Viterbi path over a text's words gives spans of
 languages; the text's language is the one with most letters on the path.
 """
 
@@ -20,9 +19,9 @@ from pyspark.sql import types as T
 
 from tallyspring.llm.words import row_slices, row_sums, slices, whole_rows, words
 
-#: The bounds of the model: labelled documents of a language (on average, drawn by hash of the id), trigrams of a
-#: language, languages.
-SAMPLE_DOCS, TRIGRAMS, LANGUAGES = 4000, 10_000, 200
+#: The bound of the model: labelled documents of a language, on average, drawn by hash of the id. All their trigrams are
+#: kept, and all languages.
+SAMPLE_DOCS = 4000
 #: What a switch of language costs on the path, in natural-log units.
 SWITCH = 12.0
 UNDETERMINED = "und"
@@ -30,9 +29,19 @@ UNDETERMINED = "und"
 #: First code points of script ranges (Unicode blocks), up to the next entry.
 SCRIPTS = {
     0x0000: "Latin", 0x0370: "Greek", 0x0400: "Cyrillic", 0x0530: "Armenian", 0x0590: "Hebrew", 0x0600: "Arabic",
-    0x0900: "Devanagari", 0x0980: "Bengali", 0x0A00: "Gurmukhi", 0x0A80: "Gujarati", 0x0B80: "Tamil", 0x0C00: "Telugu",
-    0x0E00: "Thai", 0x10A0: "Georgian", 0x1100: "Hangul", 0x1200: "Ethiopic", 0x1E00: "Latin", 0x1F00: "Greek",
-    0x3040: "Kana", 0x3400: "Han", 0xAC00: "Hangul", 0xD7B0: "Other",
+    0x0700: "Syriac", 0x0750: "Arabic", 0x0780: "Thaana", 0x07C0: "Nko", 0x0800: "Samaritan", 0x0840: "Mandaic", 0x0860: "Syriac",
+    0x0870: "Arabic", 0x0900: "Devanagari", 0x0980: "Bengali", 0x0A00: "Gurmukhi", 0x0A80: "Gujarati", 0x0B00: "Oriya",
+    0x0B80: "Tamil", 0x0C00: "Telugu", 0x0C80: "Kannada", 0x0D00: "Malayalam", 0x0D80: "Sinhala", 0x0E00: "Thai",
+    0x0E80: "Lao", 0x0F00: "Tibetan", 0x1000: "Myanmar", 0x10A0: "Georgian", 0x1100: "Hangul", 0x1200: "Ethiopic",
+    0x13A0: "Cherokee", 0x1400: "Syllabics", 0x1680: "Other", 0x1780: "Khmer", 0x1800: "Mongolian", 0x18B0: "Syllabics",
+    0x1900: "Other", 0x19E0: "Khmer", 0x1A00: "Other", 0x1C80: "Cyrillic", 0x1C90: "Georgian", 0x1CC0: "Other", 0x1D00: "Latin",
+    0x1F00: "Greek", 0x2000: "Other", 0x2C60: "Latin", 0x2C80: "Greek", 0x2D00: "Georgian", 0x2D30: "Tifinagh", 0x2D80: "Ethiopic",
+    0x2DE0: "Cyrillic", 0x2E80: "Han", 0x3040: "Kana", 0x3100: "Bopomofo", 0x3130: "Hangul", 0x3190: "Han", 0x31F0: "Kana",
+    0x3200: "Other", 0x3400: "Han", 0xA000: "Yi", 0xA4D0: "Other", 0xA640: "Cyrillic", 0xA6A0: "Other", 0xA720: "Latin",
+    0xA800: "Other", 0xA960: "Hangul", 0xA980: "Other", 0xAA60: "Myanmar", 0xAA80: "Other", 0xAB00: "Ethiopic", 0xAB30: "Latin",
+    0xAB70: "Cherokee", 0xABC0: "Other", 0xAC00: "Hangul", 0xD800: "Other", 0xF900: "Han", 0xFB00: "Latin", 0xFB13: "Armenian",
+    0xFB1D: "Hebrew", 0xFB50: "Arabic", 0xFE00: "Other", 0xFE70: "Arabic", 0xFF00: "Latin", 0xFF66: "Kana", 0xFFA0: "Hangul",
+    0xFFE0: "Other", 0x20000: "Han", 0x323B0: "Other",
 }
 _STARTS = list(SCRIPTS)
 _NAMES = list(SCRIPTS.values())
@@ -179,13 +188,13 @@ def label(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[s
     return langs, shares, spans
 
 
-def train(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS, trigrams: int = TRIGRAMS, languages: int = LANGUAGES) -> Model:
+def train(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from labelled rows: all rows with a language and a text, or a sample of ``sample_docs`` a language.
 
     A row is in the sample if the hash of its id falls under the share that gives its language that many rows.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    sizes = dict(rows.groupBy("lang").count().collect())
     if not sizes:
         return Model([])
     share = F.create_map([F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample_docs / n))])
@@ -214,8 +223,9 @@ def train(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_do
 
     counted = rows.filter(drawn).select("text", "lang").mapInArrow(count, "lang string, script string, gram string, n bigint")
     counted = counted.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n"))
-    top = counted.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram", "script")), asc=False), 1, trigrams).alias("grams"))
-    rows_ = {r["lang"]: r["grams"] for r in top.collect()}
+    rows_: dict[str, list] = {}
+    for r in sorted(counted.collect()):  # those of the sample
+        rows_.setdefault(r["lang"], []).append(r)
     model = Model(sorted(sizes))
     model.commonest = model.languages.index(max(sorted(sizes), key=sizes.get))
     k = len(model.languages)
