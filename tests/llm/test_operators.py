@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tallyspring.llm import langid, secrets, shingles
 from tallyspring.llm.chat import digests, format_conversations, read_back
 from tallyspring.llm.minhash import near_duplicates
-from tallyspring.llm.mixing import mix
+from tallyspring.llm.mixing import PACKET, mix
 from tallyspring.llm.packing import pack
 from tallyspring.llm.quality import quality
 from tallyspring.llm.queries import QUERIES
@@ -144,6 +144,35 @@ def test_packing_of_odd_rows(spark, odd, none):
     assert all(r[1] <= 64 and r[2] <= 2 and r[3] <= 40 for r in tight)
 
 
+def test_each_limit_of_packing_binds(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = F.transform("turns", lambda t: F.struct(t["text"].alias("text"), (t["role"] == "assistant").alias("loss")))
+    convs = rows.select("conv_id", parts.alias("parts"), F.lit("clash").alias("text"))
+    expected = {r["conv_id"]: [(library(WORDS).encode(p["text"] or "", add_special_tokens=False).ids, bool(p["loss"])) for p in r["parts"]] for r in convs.collect()}
+    for limits in ((64, 256, 64), (4096, 3, 4096), (4096, 256, 50)):
+        pieces = pack(convs, WORDS, id_col="conv_id", parts_col="parts", max_tokens=limits[0], max_segments=limits[1], max_loss=limits[2]).collect()
+        sums = [np.array([sum(p["length"] for p in g), len(g), sum(p["loss_tokens"] for p in g)]) for _, g in _grouped(pieces, "sequence_id")]
+        most = np.max(sums, axis=0)
+        assert (most <= limits).all()
+        binds = [k for k in range(3) if most[k] == limits[k]]
+        assert binds == [{64: 0, 3: 1, 50: 2}[min(limits)]] or limits[0] == limits[2], (limits, most)
+        for conv, own in _grouped(pieces, "conv_id"):
+            ids = [*(i for part, _ in expected[conv] for i in part), 2]
+            loss = [*(flag for part, flag in expected[conv] for _ in part), expected[conv][-1][1]]
+            loss[0] = False
+            assert sum(p["length"] for p in own) == len(ids)
+            for p in own:
+                assert np.frombuffer(p["ids"], "<u4").tolist() == ids[p["start"] : p["start"] + p["length"]]
+                assert p["loss_tokens"] == sum(loss[p["start"] : p["start"] + p["length"]])
+
+
+def test_parts_of_odd_rows(spark):
+    rows = [(1, None), (2, []), (3, [(None, None), ("", True)]), (None, [("a b", True), ("c", False)]), (3, [("x", True)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, parts array<struct<text:string,loss:boolean>>").withColumn("text", F.lit("clash"))
+    found = sorted((r["doc_id"] or 0, r["length"], r["loss_tokens"]) for r in pack(df, WORDS, parts_col="parts").collect())
+    assert found == [(0, 4, 1), (1, 1, 0), (2, 1, 0), (3, 1, 0), (3, 2, 1)]
+
+
 def test_token_counts(spark, documents, odd, none):
     found = by_id(QUERIES["op3_token_counts"](spark, SF))
     for i, r in documents.items():
@@ -191,6 +220,22 @@ def test_trigram_queries_lose_nothing():
                 assert any(all(g in text.lower() for g in ands) for ands in query), (rule.kind, text)
 
 
+def test_tokens_are_found_in_linear_time():
+    import time
+
+    scanner = secrets.Scanner((*secrets.BASE, *secrets.MORE))
+    start = time.perf_counter()
+    scanner.spans(["eyJ" * 300_000 + " .ey"])
+    assert time.perf_counter() - start < 20
+    assert [k for _, k, _ in scanner.spans([f"x eyJ{'a' * 9}.eyJ{'b' * 9}.{'c' * 9}"])[0]] == [5]
+
+
+def test_secrets_without_ids_and_with_repeats(spark):
+    rows = [(None, "token=abcdef"), (1, "token=abcdef"), (1, "nothing"), (1, "token=abcdef")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).select("row.doc_id", "n_assign").collect()
+    assert sorted((r[0] or 0, r[1]) for r in found) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+
+
 def test_redaction(spark):
     row = secrets.scan(spark.createDataFrame([(1, "x password=abcdef y", "clash")], "doc_id int, text string, spans string"), redact=True).first()
     assert row["redacted"] == "x [assign] y" and row["row"]["spans"] == "clash"
@@ -221,8 +266,14 @@ def test_mixing(spark, odd, none):
     for s in sources:
         own = [r for r in rows if r["source"] == s]
         assert {round(r["target"], 6) for r in own} == {round(target[s], 6)}
-        assert abs(sum(r["taken"] for r in own) - target[s]) <= 2
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= 2 * PACKET
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    # the budget ends the mix: what is taken lies before it, whole but for the packet where it ends
+    budget = sum(int(target[s] + 0.5) for s in sources)
+    assert sum(r["taken"] for r in rows) == budget
+    assert all(r["again_at"] is None or r["first_at"] < r["again_at"] < budget for r in rows if r["taken"])
+    partly = [r for r in rows if r["taken"] % max(r["size"], 1)]
+    assert 0 < len(partly) <= len(sources) + 1
     assert mix(odd).count() == 13 and mix(none).count() == 0
     assert {r["size"] for r in mix(odd).collect() if r["doc_id"] in (1, 2, 3)} == {0}
 
@@ -252,6 +303,36 @@ def test_vectors(spark):
     assert link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_over_cells_and_blocks(spark, monkeypatch):
+    from tallyspring.llm import vector_dedup
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(120, 24))
+    v = base[np.arange(1200) % 120] + rng.normal(0, 0.09, (1200, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    monkeypatch.setattr(vector_dedup, "CELL", 300)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    found = {r["vec_id"]: r["n_links"] for r in link_vectors(df).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert links.sum() > 1000
+    assert all(found[i] <= links[i] for i in found) and sum(found.values()) >= 0.99 * links.sum()
+
+
+def test_vector_ids_with_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (4, [0.0, 1.0, 0.05], 0)], "vec_id bigint, embedding array<double>, label int")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in link_vectors(df).collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_collisions_are_those_of_all_pairs():
+    from tallyspring.llm.vector_dedup import WINDOW, collisions
+
+    rng = np.random.default_rng(3)
+    q, r = rng.normal(size=(40, 12)), rng.normal(size=(50, 12))
+    assert (collisions(q, r) == (np.abs(q[:, None] - r[None]) <= WINDOW).sum(2)).all()
+
+
 # URLs
 
 
@@ -404,6 +485,14 @@ def test_quality(spark, documents, odd, none):
     assert quality(odd).count() == 13 and quality(none).count() == 0
 
 
+def test_stop_words_are_told_without_case_and_marks_in_latin_script_only(spark):
+    russian = " ".join(f"слово{chr(1072 + i % 32)}{chr(1072 + i // 32)}" for i in range(100))
+    english = " ".join(f'"The, thing{chr(97 + i % 26)}{chr(97 + i // 26)}' for i in range(100))
+    salad = " ".join(f"blorp{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
+    df = spark.createDataFrame([(1, russian), (2, english), (3, salad)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["kept"] for r in quality(df).collect()} == {1: True, 2: True, 3: False}
+
+
 # pipeline
 
 
