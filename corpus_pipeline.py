@@ -50,11 +50,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that sources come near their targets; a part of a copy is rounded."""
+    """Repeats and drops documents so that sources come near their targets; a part of a copy is rounded.
+
+    Rows with one id and different texts are different documents. Rows that repeat get the same number of copies.
+    """
+    keyed = whole_rows(docs).select("row", F.concat_ws(":", "row.doc_id", text_key(F.col("row.text"))).alias("key"), "row.text", "row.source")
     copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    taken = mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(copies).alias("copies")).filter("copies > 0")
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mix(keyed, id_col="key").groupBy("key", "source").agg(F.max(copies).alias("copies")).filter("copies > 0")
+    taken = taken.select(F.col("key").alias("key2"), F.col("source").alias("source2"), "copies")
+    mixed = keyed.join(taken, (F.col("key") == F.col("key2")) & F.col("source").eqNullSafe(F.col("source2")))
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
