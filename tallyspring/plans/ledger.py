@@ -441,13 +441,13 @@ def lag_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 WITH days AS (SELECT o_orderdate::DATE AS day, count(*) AS n_day, round(avg(o_totalprice), 7) AS avg_fee, round(count(*) FILTER (o_orderpriority = '1-URGENT') * 100 / count(*), 2)::DOUBLE AS flag_share FROM orders GROUP BY 1),
-gaps AS (SELECT o_orderdate::DATE AS day, round(avg(gap), 7) AS avg_close_seconds FROM (SELECT o_orderdate, epoch(o_orderdate) - epoch(lag(o_orderdate) OVER (ORDER BY o_orderkey)) AS gap FROM orders) GROUP BY 1)
+gaps AS (SELECT o_orderdate::DATE AS day, round(avg(gap), 2) AS avg_close_seconds FROM (SELECT o_orderdate, epoch(o_orderdate) - epoch(lag(o_orderdate) OVER (ORDER BY o_orderkey)) AS gap FROM orders) GROUP BY 1)
 SELECT day::VARCHAR AS day, n_day, avg_fee, flag_share, sum(n_day) OVER (ORDER BY day)::BIGINT AS n_total, avg_close_seconds FROM days LEFT JOIN gaps USING (day)
 """)
 def daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     stats = rollups.network_stats(orders, orders, sequence="o_orderkey", closed_at="o_orderdate", time="o_orderdate", fee="o_totalprice", flag=F.col("o_orderpriority") == "1-URGENT", bucket=1000)
-    return stats.select(F.col("day").cast("string").alias("day"), "n_day", F.round("avg_fee", 7).alias("avg_fee"), F.col("flag_share").cast("double").alias("flag_share"), "n_total", F.round("avg_close_seconds", 7).alias("avg_close_seconds"))
+    return stats.select(F.col("day").cast("string").alias("day"), "n_day", F.round("avg_fee", 7).alias("avg_fee"), F.col("flag_share").cast("double").alias("flag_share"), "n_total", F.round("avg_close_seconds", 2).alias("avg_close_seconds"))
 
 
 @registered("""
