@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspring.llm.quality import STOP_WORDS, THRESHOLDS
+from tallyspring.llm.quality import MARKS, STOP_WORDS, THRESHOLDS
 
 MIXING = r"""
 WITH slim AS (
@@ -65,7 +65,7 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(ge
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
   len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]')))::BIGINT AS n_latin_words,
-  len(list_filter(w, lambda x: list_contains({STOP_WORDS!r}, regexp_replace(lower(x), '\P{{L}}+', '', 'g'))))::BIGINT AS n_stop_words, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+  len(list_filter(w, lambda x: list_contains({STOP_WORDS!r}, trim(lower(x), '{MARKS}'))))::BIGINT AS n_stop_words, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
   len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines
   FROM d LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)

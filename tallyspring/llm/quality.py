@@ -23,6 +23,9 @@ STOP_WORDS = sorted(set((
 ).split()))
 
 
+#: Marks that may stand around a word.
+MARKS = ".,;:!?()[]{}\"“”„«»…-–—*_"
+
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -101,7 +104,7 @@ def measures(text: Column) -> Column:
             F.size(d["lines"]).cast("long").alias("n_lines"),
             size(d["words"], lambda w: F.rlike(w, F.lit(r"\p{L}"))).alias("n_letter_words"),
             size(d["words"], lambda w: F.rlike(w, F.lit(r"[A-Za-z]"))).alias("n_latin_words"),
-            size(d["words"], lambda w: F.regexp_replace(F.lower(w), r"\P{L}+", "").isin(STOP_WORDS)).alias("n_stop_words"),
+            size(d["words"], lambda w: F.btrim(F.lower(w), F.lit(MARKS)).isin(STOP_WORDS)).alias("n_stop_words"),
             size(d["lines"], lambda x: F.rlike(x, F.lit(r"(\.\.\.|…)[ \t-\r]*$"))).alias("n_ellipsis_lines"),
             size(d["lines"], lambda x: F.rlike(x, F.lit(r"^[ \t-\r]*[-*•]"))).alias("n_bullet_lines"),
         )
