@@ -19,7 +19,7 @@ from tallyspring.llm.packing import pack
 from tallyspring.llm.quality import quality
 from tallyspring.llm.queries import QUERIES
 from tallyspring.llm.token_count import count_tokens
-from tallyspring.llm.url_filter import judge
+from tallyspring.llm.url_filter import host_and_path, judge, lexical
 from tallyspring.llm.vector_dedup import link_vectors
 from tallyspring.llm.vocabulary import library
 
@@ -355,6 +355,31 @@ def test_urls(spark):
         assert r["rule"] == (max(fits)[1] if fits else None)
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
     assert judge(df.limit(0)).count() == 0
+    assert judge(df.limit(0), fold=0).count() == 0
+
+
+def test_url_features(spark):
+    urls = ["", "no scheme", "http://a.b.com/x/y?k=1&l=22#m&n", "x://é.org/ü1?", "aaaa" * 500, "http://h/?a?b=2&c"]
+    host, path = host_and_path(F.col("url"))
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("host", host).withColumn("path", path)
+    for r in rows.select("*", *(c.alias(n) for n, c in lexical(F.col("url")).items())).collect():
+        u, n = r["url"], len(r["url"])
+        shares = [k / n for k in collections.Counter(u).values()]
+        assert (r["url_length"], r["host_length"], r["path_length"]) == (n, len(r["host"]), len(r["path"]))
+        assert (r["host_depth"], r["path_depth"]) == (r["host"].count("."), r["path"].count("/"))
+        assert r["digit_ratio"] == pytest.approx(sum(c in "0123456789" for c in u) / max(n, 1))
+        assert r["entropy"] == pytest.approx(-sum(p * np.log2(p) for p in shares), abs=1e-9)
+        assert r["n_parameters"] == (len(u.rpartition("?")[2].partition("#")[0].split("&")) if "?" in u else 0)
+
+
+def test_trees_judge_labels_that_they_have_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    told = [r for fold in (0, 1) for r in judge(pages, fold=fold).collect()]
+    right = collections.Counter((r["by_rule"], (r["block_score"] > 0.5) == (r["by_rule"] == "block")) for r in told)
+    assert len({r["page_id"] for r in told}) == len(told) > 250
+    assert right["block", True] > 0.9 * (right["block", True] + right["block", False])
+    share = collections.Counter(r["by_rule"] for r in told).most_common(1)[0][1] / len(told)
+    assert (right["block", True] + right["allow", True]) / len(told) > share + 0.05
 
 
 # chats
