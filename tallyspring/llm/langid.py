@@ -1,13 +1,15 @@
 """Language identification: script ranges, per-word scores and a Viterbi path with a switching penalty.
 
-The model is learned with Spark from labelled documents: counts of the character trigrams of words, and the scripts
-in which a language is written. It is learned from a sample of bounded size, so it is collected and sent to the tasks. A word is scored only for the languages of its script. The Viterbi path over a text's words gives spans of
-languages; the text's language is the one with most letters on the path.
+The model is learned with Spark from labelled documents: counts of the character trigrams of pieces of words, and the
+scripts in which a language is written. It is learned from a sample of bounded size, so it is collected and sent to the
+tasks. A word is cut where its script changes, and text in scripts without blanks every few letters, so that a span can
+begin inside a word. A piece is scored only for the languages of its script. The Viterbi path over a text's pieces gives
+spans of languages; the text's language is the one with most letters on the path.
 """
 
 from __future__ import annotations
 
-import bisect
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspring.llm.words import row_slices, row_sums, slices, whole_rows, words
+from tallyspring.llm.words import SLICE_BYTES, row_slices, row_sums, slices, whole_rows, words
 
 #: The bound of the model: labelled documents of a language, on average, drawn by hash of the id. All their trigrams are
 #: kept, and all languages.
 SAMPLE_DOCS = 4000
 #: What a switch of language costs on the path, in natural-log units.
 SWITCH = 12.0
+#: Letters of a piece at most, in scripts written with blanks and in those without.
+PIECE, UNSPACED_PIECE = 64, 4
 UNDETERMINED = "und"
 
 #: First code points of script ranges (Unicode blocks), up to the next entry.
@@ -43,81 +47,126 @@ SCRIPTS = {
     0xFB1D: "Hebrew", 0xFB50: "Arabic", 0xFE00: "Other", 0xFE70: "Arabic", 0xFF00: "Latin", 0xFF66: "Kana", 0xFFA0: "Hangul",
     0xFFE0: "Other", 0x20000: "Han", 0x323B0: "Other",
 }
-_STARTS = list(SCRIPTS)
-_NAMES = list(SCRIPTS.values())
+#: Scripts written without blanks between words.
+UNSPACED = ("Han", "Kana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+NAMES = ["", *dict.fromkeys(SCRIPTS.values())]
+#: The first code point above all letters; one takes 18 bits.
+TOP = max(SCRIPTS)
 
 
-def letters_of(word: str) -> str:
-    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+@functools.cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point up to ``TOP``: the lower case if it is one character, and the script of a letter as its place in
+    ``NAMES``; 0 is no letter."""
+    letter = [chr(i).isalpha() for i in range(TOP)] + [False]
+    lower = [ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(TOP)] + [TOP]
+    starts, names = np.array(list(SCRIPTS)), np.array([NAMES.index(x) for x in SCRIPTS.values()])
+    script = names[np.searchsorted(starts, np.arange(TOP + 1), "right") - 1]
+    return np.array(lower, np.int64), np.where(letter, script, 0)
 
 
-def script(letters: str) -> str:
-    """Script of the first letter."""
-    return _NAMES[bisect.bisect_right(_STARTS, ord(letters[0])) - 1]
+@dataclass
+class Pieces:
+    """Runs of letters of one script in distinct words, in order."""
+
+    #: by word: its first piece and their number
+    first: np.ndarray
+    count: np.ndarray
+    #: by piece: code points of the word before it, script, letters
+    char: np.ndarray
+    script: np.ndarray
+    letters: np.ndarray
+    #: by letter: the trigram around it, with its script; a piece has as many trigrams as letters
+    grams: np.ndarray
+
 
+def pieces(distinct: list[str]) -> Pieces:
+    """The pieces of words. What isn't a letter is left out, and doesn't part letters; a word without letters has none.
 
-def grams(letters: str) -> list[str]:
-    """Trigrams of the letters of a word between blanks."""
-    w = f" {letters.lower()} "
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+    A trigram is three letters of 18 bits under the script; a blank stands for what is before and after a piece.
+    """
+    lower, script_of = characters()
+    points = np.minimum(np.frombuffer(" ".join(distinct).encode("utf-32-le"), "<u4"), TOP)
+    blank = points == 32
+    at = np.flatnonzero(script_of[points])
+    word = np.cumsum(blank, dtype=np.int32)[at]
+    script, c = script_of[points[at]], lower[points[at]]
+    first = np.ones(len(at), bool)
+    first[1:] = (np.diff(word) != 0) | (np.diff(script) != 0)
+    run = np.flatnonzero(first)
+    place = np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))
+    unspaced = np.isin(np.arange(len(NAMES)), [NAMES.index(x) for x in UNSPACED])
+    first |= place % np.where(unspaced, UNSPACED_PIECE, PIECE)[script] == 0
+    last = np.append(first[1:], True)[: len(at)]
+    grams = script << 54 | np.where(first, 32, np.roll(c, 1)) << 36 | c << 18 | np.where(last, 32, np.roll(c, -1))
+    starts = np.flatnonzero(first)
+    begins = np.concatenate([[0], np.flatnonzero(blank) + 1])
+    count = np.bincount(word[starts], minlength=len(distinct))
+    return Pieces(np.cumsum(count) - count, count, at[starts] - begins[word[starts]], script[starts], np.diff([*starts, len(at)]), grams)
 
 
 @dataclass
 class Model:
     languages: list[str]
     commonest: int = 0
-    #: row of ``log_p`` by trigram; the last row is for any other
-    row_of: dict[str, int] = field(default_factory=dict)
+    #: trigrams in order, and their log probability by language; the last one is for any other
+    grams: np.ndarray | None = None
     log_p: np.ndarray | None = None
     #: languages by script, as masks
-    of_script: dict[str, np.ndarray] = field(default_factory=dict)
+    of_script: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def scores(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words: log scores by language, letters that languages can claim, and whether there is a letter.
+    def scores(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces: log scores by language, and letters that languages can claim.
 
-        Only the languages of a word's script are candidates: any other gets the worst candidate's score less a
-        switch. A word in a script of no language says nothing.
+        Only the languages of a piece's script are candidates: any other gets the worst candidate's score less a
+        switch. A piece in a script of no language says nothing.
         """
-        n, unseen = len(self.languages), len(self.row_of)
-        out, letters, any_letter = np.zeros((len(distinct), n)), np.zeros(len(distinct)), np.zeros(len(distinct), bool)
-        rows, counts, masks = [], [], []
-        everywhere = {name for name, mask in self.of_script.items() if mask.all()}
-        for i, w in enumerate(distinct):
-            if not (found := letters_of(w)):
-                continue
-            any_letter[i] = True
-            name = script(found)
+        out, letters = np.zeros((len(p.script), len(self.languages))), np.zeros(len(p.script))
+        for name in np.unique(p.script).tolist():
             if (mask := self.of_script.get(name)) is None:
                 continue
-            g = grams(found)
-            rows += [self.row_of.get(x, unseen) for x in g]
-            counts.append(len(g))
-            letters[i] = len(g)
-            if name not in everywhere:
-                masks.append((i, mask))
-        if counts:
-            out[letters > 0] = np.add.reduceat(self.log_p[rows], np.cumsum([0, *counts[:-1]]), axis=0)
-        for i, mask in masks:
-            out[i] = np.where(mask, out[i], out[i][mask].min() - SWITCH)
-        return out, letters, any_letter
-
-
-def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
-    """The best language of each word, each change of language costing ``switch``."""
-    n, k = scores.shape
-    back = np.empty((n, k), np.int32)
-    best = scores[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        moved = best[top] - switch
-        keep = best >= moved
-        back[t] = np.where(keep, stay, top)
-        best = np.where(keep, best, moved) + scores[t]
-    path = np.empty(n, np.int32)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+            own = p.script == name
+            lengths = p.letters[own]
+            letters[own] = lengths
+            grams = p.grams if own.all() else p.grams[np.repeat(own, p.letters)]
+            row = np.searchsorted(self.grams, grams)
+            row[self.grams[np.minimum(row, len(self.grams) - 1)] != grams] = len(self.grams)
+            found = np.empty((len(lengths), len(self.languages)))
+            for k in np.flatnonzero(mask):
+                found[:, k] = np.add.reduceat(self.log_p[k][row], np.cumsum(lengths) - lengths)
+            found[:, ~mask] = found[:, mask].min(1, keepdims=True) - SWITCH
+            out[own] = found
+        return out, letters
+
+
+def viterbi(scores: np.ndarray, switch: float, offsets: np.ndarray | None = None) -> np.ndarray:
+    """The best language of each piece, each change of language inside a text costing ``switch``.
+
+    ``offsets`` are the bounds of texts, none of them empty; without them all is one text. The recursion takes a step
+    in all texts that are long enough at once.
+    """
+    offsets = np.array([0, len(scores)]) if offsets is None else offsets
+    lengths = np.diff(offsets)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = offsets[:-1][order], lengths[order]
+    # texts longer than t
+    longer = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
+    back = np.empty(scores.shape, np.int32)
+    best = scores[starts]
+    stay = np.arange(scores.shape[1])
+    for t in range(1, lengths[0]):
+        m = longer[t]
+        b = best[:m]
+        top = b.argmax(1)
+        moved = b[np.arange(m), top][:, None] - switch
+        keep = b >= moved
+        back[starts[:m] + t] = np.where(keep, stay, top[:, None])
+        best[:m] = np.where(keep, b, moved) + scores[starts[:m] + t]
+    path = np.empty(len(scores), np.int32)
+    path[starts + lengths - 1] = best.argmax(1)
+    for t in range(lengths[0] - 1, 0, -1):
+        at = starts[: longer[t]] + t
+        path[at - 1] = back[at, path[at]]
     return path
 
 
@@ -131,7 +180,7 @@ def one_language(scores: np.ndarray, offsets: np.ndarray, leader: np.ndarray, sw
     difference of prefix sums, for all texts at once.
     """
     lengths = np.diff(offsets)
-    gain = scores - np.repeat(scores_of(scores, np.repeat(leader, lengths)), scores.shape[1]).reshape(scores.shape)
+    gain = scores - scores[np.arange(len(scores)), np.repeat(leader, lengths)][:, None]
     prefix = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(gain, axis=0)])
     sure = np.ones(len(leader), bool)
     for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
@@ -145,46 +194,46 @@ def one_language(scores: np.ndarray, offsets: np.ndarray, leader: np.ndarray, sw
     return sure
 
 
-def scores_of(scores: np.ndarray, languages: np.ndarray) -> np.ndarray:
-    return scores[np.arange(len(scores)), languages]
-
-
-def spans_of(path: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first word, end, language) of the runs of a path."""
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
-    return [(int(a), int(b), int(path[a])) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def label(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[str], list[float], list[list[tuple[int, int, int]]]]:
+def label(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[str], list[float], list[str]]:
     """Language, share of its letters, and spans of each text."""
-    offsets_all, codes, distinct = words(texts)
-    scored, letters, any_letter = model.scores(distinct)
-    lettered = any_letter[codes]  # other words take part in nothing
-    places = np.flatnonzero(lettered)
-    offsets = np.concatenate([[0], np.cumsum(lettered)])[offsets_all]
-    codes = codes[lettered]
-    s, n = scored[codes], letters[codes]
+    word_offsets, codes, distinct = words(texts)
+    p = pieces(distinct)
+    scored, letters = model.scores(p)
+    count = p.count[codes]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    code = np.repeat(p.first[codes] - ends[:-1], count) + np.arange(ends[-1])  # a piece of each place
+    offsets = ends[word_offsets]
+    s, n = scored[code], letters[code]
     leader = row_sums(s, offsets).argmax(1)
-    sure = one_language(s, offsets, leader, switch)
-    claimed = row_sums(n, offsets)
-    langs, shares, spans = [], [], []
-    for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-        if a == b:
-            langs.append(UNDETERMINED), shares.append(0.0), spans.append([])
-            continue
-        n_words = int(offsets_all[i + 1] - offsets_all[i])
-        if not claimed[i]:  # letters in scripts of no language only
-            langs.append(model.languages[model.commonest]), shares.append(0.0), spans.append([])
-            continue
-        if sure[i]:
-            langs.append(model.languages[leader[i]]), shares.append(1.0), spans.append([(0, n_words, int(leader[i]))])
-            continue
-        path = viterbi(s[a:b], switch)
-        by = np.bincount(path, n[a:b], len(model.languages))
-        best = int(by.argmax())
-        at = places[a:b] - offsets_all[i]
-        langs.append(model.languages[best]), shares.append(float(by[best] / claimed[i]))
-        spans.append([(int(at[x]), int(at[y]) if y < len(at) else n_words, k) for x, y, k in spans_of(path)])
+    claimed, lengths = row_sums(n, offsets), np.diff(offsets)
+    open_ = ~one_language(s, offsets, leader, switch) & (claimed > 0)
+    inside = np.repeat(open_, lengths)
+    own = np.concatenate([[0], np.cumsum(lengths[open_])])
+    path = viterbi(s[inside], switch, own) if open_.any() else np.empty(0, np.int32)
+    taken, at = n[inside], np.flatnonzero(inside)
+
+    def place(x: int, before: int) -> str:
+        w = int(np.searchsorted(ends, x, "right")) - 1
+        return f"{w - before}" if ends[w] == x else f"{w - before}.{p.char[code[x]]}"
+
+    langs, shares, spans, k = [], [], [], 0
+    for i in range(len(lengths)):
+        before, n_words = int(word_offsets[i]), int(word_offsets[i + 1] - word_offsets[i])
+        if not lengths[i]:
+            langs.append(UNDETERMINED), shares.append(0.0), spans.append("")
+        elif not claimed[i]:  # letters in scripts of no language only
+            langs.append(model.languages[model.commonest]), shares.append(0.0), spans.append("")
+        elif not open_[i]:
+            langs.append(model.languages[leader[i]]), shares.append(1.0), spans.append(f"0-{n_words}:{model.languages[leader[i]]}")
+        else:
+            a, b = own[k : k + 2].tolist()
+            k += 1
+            by = np.bincount(path[a:b], taken[a:b], len(model.languages))
+            best = int(by.argmax())
+            langs.append(model.languages[best]), shares.append(float(by[best] / claimed[i]))
+            cuts = (np.flatnonzero(np.diff(path[a:b])) + 1 + a).tolist()
+            bounds = ["0", *(place(int(at[x]), before) for x in cuts), str(n_words)]
+            spans.append(" ".join(f"{x}-{y}:{model.languages[path[j]]}" for x, y, j in zip(bounds, bounds[1:], [a, *cuts], strict=False)))
     return langs, shares, spans
 
 
@@ -201,45 +250,42 @@ def train(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_do
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str, str], int] = {}
+        found: dict[tuple[str, int], int] = {}
         for part in slices(batches):
             offsets, codes, distinct = words(part.column(0))
-            letters = [letters_of(w) for w in distinct]
-            known = [grams(x) if x else [] for x in letters]
-            lengths = np.array(list(map(len, known)))
-            flat = pa.array([script(x) + "\t" + g for x, gs in zip(letters, known, strict=True) for g in gs], pa.string()).dictionary_encode()
-            gram_codes, names = flat.indices.to_numpy(), [tuple(x.split("\t", 1)) for x in flat.dictionary.to_pylist()]
+            p = pieces(distinct)
+            grams, place = np.unique(p.grams, return_inverse=True)
+            word = np.repeat(np.repeat(np.arange(len(distinct)), p.count), p.letters)
             row_lang = pa.array(part.column(1)).cast(pa.string()).dictionary_encode()
             word_lang = np.repeat(row_lang.indices.to_numpy(), np.diff(offsets))
             for k, lang in enumerate(row_lang.dictionary.to_pylist()):
                 times = np.bincount(codes[word_lang == k], minlength=len(distinct))
-                counts = np.bincount(gram_codes, np.repeat(times, lengths), len(names)).astype(np.int64)
+                counts = np.bincount(place, times[word], len(grams)).astype(np.int64)
                 for i in np.flatnonzero(counts).tolist():
-                    key = (lang, *names[i])
+                    key = (lang, int(grams[i]))
                     found[key] = found.get(key, 0) + int(counts[i])
         if found:
-            keys = list(zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(list(found.values()), pa.int64())], names=["lang", "script", "gram", "n"])
-
-    counted = rows.filter(drawn).select("text", "lang").mapInArrow(count, "lang string, script string, gram string, n bigint")
-    counted = counted.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n"))
-    rows_: dict[str, list] = {}
-    for r in sorted(counted.collect()):  # those of the sample
-        rows_.setdefault(r["lang"], []).append(r)
+            langs, grams = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.int64()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "n"])
+
+    counted = rows.filter(drawn).select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
+    counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()  # those of the sample
     model = Model(sorted(sizes))
     model.commonest = model.languages.index(max(sorted(sizes), key=sizes.get))
-    k = len(model.languages)
-    counts: dict[str, np.ndarray] = {}
-    totals, in_script = np.zeros(k), {}
-    for i, lang in enumerate(model.languages):
-        for r in rows_.get(lang, []):
-            counts.setdefault(r["gram"], np.zeros(k))[i] += r["n"]
-            totals[i] += r["n"]
-            in_script.setdefault(r["script"], np.zeros(k))[i] += r["n"]
+    if not counted:
+        return model
+    model.grams, row = np.unique(np.array([r["gram"] for r in counted]), return_inverse=True)
+    lang = np.array([model.languages.index(r["lang"]) for r in counted])
+    counts = np.zeros((len(model.languages), len(model.grams) + 1))
+    counts[lang, row] = [r["n"] for r in counted]
+    totals = counts.sum(1, keepdims=True)
+    model.log_p = np.log((counts + 0.5) / (totals + 0.5 * counts.shape[1]))
     # a script is a language's if it has a hundredth of its trigrams
-    model.of_script = {s: m for s, n in in_script.items() if (m := (n * 100 >= totals) & (n > 0)).any()}
-    model.row_of = {g: i for i, g in enumerate(counts)}
-    model.log_p = np.log((np.array([*counts.values(), np.zeros(k)]) + 0.5) / (totals + 0.5 * (len(counts) + 1)))
+    script = model.grams >> 54
+    for name in np.unique(script).tolist():
+        n = counts[:, :-1][:, script == name].sum(1)
+        if (mask := (n * 100 >= totals[:, 0]) & (n > 0)).any():
+            model.of_script[name] = mask
     return model
 
 
@@ -247,7 +293,7 @@ def identify(df: DataFrame, model: Model, *, text_col: str = "text", switch: flo
     """One row per input row: row (the input row, a struct), lang_pred, score, spans.
 
     ``score`` is the share of letters that the path gives to the language; ``spans`` lists first word, end and language
-    of the path's runs. A text that is null or has no letter is ``und`` with score 0 and no spans; one with letters in
+    of the path's runs. ``3.5`` is inside word 3, after 5 of its code points. A text that is null or has no letter is ``und`` with score 0 and no spans; one with letters in
     scripts of no learned language gets the commonest language with score 0. Without labelled rows all are ``und``.
     Ids may be null or repeat, and columns may have any name.
     """
@@ -256,13 +302,13 @@ def identify(df: DataFrame, model: Model, *, text_col: str = "text", switch: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in row_slices(batches, text_col):
+        # a piece has a score for each language
+        for part in row_slices(batches, text_col, SLICE_BYTES * 8 // max(8, len(m.languages))):
             if m.languages:
                 langs, scores, spans = label(m, part.column(1), switch)
             else:
-                langs, scores, spans = [UNDETERMINED] * part.num_rows, [0.0] * part.num_rows, [[]] * part.num_rows
-            told = [" ".join(f"{a}-{b}:{m.languages[k]}" for a, b, k in x) for x in spans]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(told, pa.string())], names=["row", "lang_pred", "score", "spans"])
+                langs, scores, spans = [UNDETERMINED] * part.num_rows, [0.0] * part.num_rows, [""] * part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["row", "lang_pred", "score", "spans"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.StringType())]))
 

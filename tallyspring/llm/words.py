@@ -39,7 +39,7 @@ def whole_rows(df: DataFrame) -> DataFrame:
     return df.select(F.struct("*").alias("row"))
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def row_slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``slices`` of rows of ``whole_rows``, with the columns row and text."""
 
     def with_text() -> Iterator[pa.RecordBatch]:
@@ -47,7 +47,7 @@ def row_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.
             row = batch.column(0)
             yield pa.RecordBatch.from_arrays([row, pc.struct_field(row, [row.type.get_field_index(text_col)])], names=["row", "text"])
 
-    return slices(with_text())
+    return slices(with_text(), most=most)
 
 
 def coded(lists: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
