@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspring.llm import langid
+from tallyspring.llm.bpe_automaton import round_trip
 from tallyspring.llm.chat import digests, format_conversations
 from tallyspring.llm.minhash import near_duplicates
 from tallyspring.llm.mixing import mix
@@ -72,6 +73,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_bpe_automaton": op13_bpe_automaton,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
