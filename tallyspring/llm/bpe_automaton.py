@@ -177,7 +177,6 @@ class Codec:
         raw = {t: bytes(self.byte[c] for c in t) for t in vocabulary if t not in self.special}
         alphabet = {vocabulary[t]: r for t, r in raw.items() if t not in made and len(r) == 1}
         self.automaton = Automaton(alphabet, [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs])
-        self.emit = {vocabulary[t]: r for t, r in raw.items()} | {i: s.encode() for s, i in self.special.items()}
         self.find = re.compile(PRE_TOKENS).findall
         self.split = library(path).pre_tokenizer.pre_tokenize_str
         self.known: dict[str, tuple[int, ...]] = {}
@@ -232,17 +231,26 @@ class Codec:
             out[row] = self.encode(texts[row].as_py())
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """Labels in a row, read as UTF-8; bytes that aren't become U+FFFD, and unknown ids nothing, as in the library."""
-        get = self.emit.get
-        return b"".join([get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-
 
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@functools.cache
+def labels(path: str) -> dict[int, bytes]:
+    """What the arcs of each token spell; decoding needs no more of the automaton."""
+    file, byte = model(path), byte_of()
+    special = {t["id"]: t["content"].encode() for t in file["added_tokens"]}
+    return {i: bytes(byte[c] for c in t) for t, i in file["model"]["vocab"].items() if i not in special} | special
+
+
+def text_of(ids: bytes, path: str) -> str:
+    """Labels in a row, read as UTF-8; bytes that aren't become U+FFFD, and unknown ids nothing, as in the library."""
+    get = labels(path).get
+    return b"".join([get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+
 def encode(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     """One row per input row: row (the input row, a struct) and ids (binary, little-endian unsigned 32-bit numbers).
 
@@ -268,11 +276,10 @@ def decode(df: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "de
     k = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_text = codec(path).decode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [to_text(x or b"") for x in part.column(k).to_pylist()]
+                texts = [text_of(x or b"", path) for x in part.column(k).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return df.mapInArrow(run, schema)

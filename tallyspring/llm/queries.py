@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tallyspring.llm import langid
 from tallyspring.llm.bpe_automaton import round_trip
 from tallyspring.llm.chat import digests, format_conversations
+from tallyspring.llm.filter_audit import audit
+from tallyspring.llm.hard_negatives import mine
 from tallyspring.llm.minhash import near_duplicates
 from tallyspring.llm.mixing import mix
 from tallyspring.llm.oracles import ORACLES
@@ -73,6 +75,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -88,6 +99,8 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
     "op13_bpe_automaton": op13_bpe_automaton,
 }
 
