@@ -43,8 +43,13 @@ def newest_by_key(df: DataFrame, key: str, time: str, n: int, ties: list[str]) -
 
 
 def daily_stats(transactions: DataFrame, *, time: str, fee: str, flag: Column, amount: str | None = None) -> DataFrame:
-    """Counts of each day, running totals, mean fee and share of flagged rows. The window runs over days, not rows."""
+    """Counts of each day, running totals, mean fee and share of flagged rows."""
     by_day = transactions.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n_day"), F.avg(fee).alias("avg_fee"), (F.count_if(flag) * 100 / F.count("*")).cast("decimal(5,2)").alias("flag_share"))
+    return with_running_total(by_day)
+
+
+def with_running_total(by_day: DataFrame) -> DataFrame:
+    """The window runs over days, not rows."""
     return by_day.withColumn("n_total", F.sum("n_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -80,10 +85,14 @@ def contract_activity(contracts: DataFrame, events: DataFrame, operations: DataF
     return joined.select(*contracts.columns, F.coalesce("event_count", F.lit(0)).alias("event_count"), F.coalesce("invocation_count", F.lit(0)).alias("invocation_count"))
 
 
+def supply_change() -> Column:
+    """What an event adds to the supply of its asset."""
+    return F.when(F.col("event_type_name") == "mint", F.col("amount")).when(F.col("event_type_name").isin("burn", "clawback"), -F.col("amount")).otherwise(0)
+
+
 def asset_supply(token_events: DataFrame) -> DataFrame:
     """Supply of each issued asset: mints less burns and clawbacks."""
-    sign = F.when(F.col("event_type_name") == "mint", F.col("amount")).when(F.col("event_type_name").isin("burn", "clawback"), -F.col("amount")).otherwise(0)
-    return token_events.filter("asset_code is not null").groupBy("asset_code", "asset_issuer").agg(F.sum(sign).alias("supply"))
+    return token_events.filter("asset_code is not null").groupBy("asset_code", "asset_issuer").agg(F.sum(supply_change()).alias("supply"))
 
 
 def balances(token_events: DataFrame) -> DataFrame:

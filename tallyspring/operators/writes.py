@@ -1,63 +1,51 @@
 """Write policies of the target tables, as DataFrames of new rows or of whole tables.
 
-Plain Parquet has no row-level writes, so an append is an anti join and a merge is a full join. Anti joins
-look only into the time partitions that the batch touches.
+An append is an anti join and a merge is a full join, as plain Parquet has no row-level writes. Anti joins look only
+into the time partitions that the batch touches. How tables lie in files is told in ``deltas``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tallyspring.schemas import CHUNKS, KEYS, SEGMENTS, table_schema
+from collections.abc import Callable
 
-CHUNK = "chunk"
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tallyspring.operators import deltas
+from tallyspring.schemas import KEYS
 
 def insert_if_absent(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """The batch's rows with keys that the target lacks, one for each key."""
     return batch.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
 
 
-def chunk_of(table: str) -> Column:
-    """The time partition of a row: the start of its month or week."""
-    column, unit = CHUNKS[table]
-    return F.date_format(F.date_trunc(unit, F.col(column)), "yyyy-MM-dd")
-
-
-def create(spark: SparkSession, folder: str, table: str) -> None:
-    """An empty table of its time partitions."""
-    empty = spark.createDataFrame([], table_schema(table))
-    empty = empty.withColumn(CHUNK, chunk_of(table)) if table in CHUNKS else empty
-    writer = empty.write.mode("ignore")
-    (writer.partitionBy(CHUNK) if table in CHUNKS else writer).parquet(f"{folder}/{table}")
-
-
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table with today's columns; files that were written before a column was added give nulls."""
-    schema = table_schema(table)
-    if table in CHUNKS:
-        schema = T.StructType([*schema.fields, T.StructField(CHUNK, T.StringType())])
-    return spark.read.schema(schema).parquet(f"{folder}/{table}")
-
-
 def append(batch: DataFrame, folder: str, table: str) -> int:
     """Adds the rows that the table lacks, and returns how many the batch has. A replayed batch adds none.
 
     The target is read only in the batch's chunks: a batch spans few, and their counts are what comes to the driver.
+    One writer at a time: what another one adds between the read and the commit isn't seen.
     """
-    spark = batch.sparkSession
-    placed = batch.withColumn(CHUNK, chunk_of(table)).persist()
+    return upsert(batch, folder, table, [])
+
+
+def upsert(batch: DataFrame, folder: str, table: str, compare: list[str]) -> int:
+    """``append``, and where a row with the key is there whose columns of ``compare`` differ, the batch's row in its place."""
+    spark, keys = batch.sparkSession, KEYS[table]
+    rows = deltas.placed(batch, table).dropDuplicates(keys).persist()
     try:
-        chunks = dict(placed.groupBy(CHUNK).count().collect())
-        if chunks:
-            target = read(spark, folder, table).filter(F.col(CHUNK).isin(list(chunks)))
-            fresh = insert_if_absent(placed, target, KEYS[table])
-            fresh.select(*(f.name for f in table_schema(table).fields), CHUNK).write.mode("append").partitionBy(CHUNK).parquet(f"{folder}/{table}")
+        chunks = dict(rows.groupBy(deltas.CHUNK).count().collect())
+        if not chunks:
+            return 0
+        target = deltas.read(spark, folder, table).filter(F.col(deltas.CHUNK).isin(list(chunks)))
+        if not compare:
+            deltas.commit(rows.join(target.select(*keys), keys, "left_anti"), folder, table)
+            return sum(chunks.values())
+        there = target.select(*(F.col(k).alias(f"there_{k}") for k in keys), F.struct(*compare).alias("there"))
+        joined = rows.join(there, [F.col(k) == F.col(f"there_{k}") for k in keys], "left").filter(~F.struct(*compare).eqNullSafe(F.col("there")))
+        deltas.commit(joined, folder, table, deletes=joined.filter(F.col("there").isNotNull()).select(*keys))
         return sum(chunks.values())
     finally:
-        placed.unpersist()
+        rows.unpersist()
 
 
 def fold(arrivals: DataFrame, key: str, order: str, *, overwrite: list[str], keep: list[str], first: list[str]) -> DataFrame:
@@ -87,6 +75,9 @@ CONTRACT_POLICY = {
     "first": ["creator_account", "created_ledger", "created_at"],
 }
 
+#: Policy of the code table.
+CODE_POLICY = {"overwrite": [], "keep": ["contract_spec", "spec_parsed"], "first": ["wasm_bytecode", "wasm_size"]}
+
 
 def upsert_contracts(old: DataFrame, arrivals: DataFrame, order: str = "created_ledger") -> DataFrame:
     return merge(old, fold(arrivals, "contract_id", order, **CONTRACT_POLICY), "contract_id", **CONTRACT_POLICY)
@@ -94,48 +85,36 @@ def upsert_contracts(old: DataFrame, arrivals: DataFrame, order: str = "created_
 
 def upsert_codes(old: DataFrame, new: DataFrame, contracts: DataFrame) -> DataFrame:
     """Codes merged by hash; ``contract_count`` is the number of contracts with the hash, so a replay doesn't raise it."""
-    merged = merge(old.drop("contract_count"), new.dropDuplicates(["wasm_hash"]), "wasm_hash", overwrite=[], keep=["contract_spec", "spec_parsed"], first=["wasm_bytecode", "wasm_size"])
+    merged = merge(old.drop("contract_count"), new.dropDuplicates(["wasm_hash"]), "wasm_hash", **CODE_POLICY)
     counts = contracts.filter("wasm_hash is not null").groupBy("wasm_hash").agg(F.count_distinct("contract_id").alias("contract_count"))
     return merged.join(counts, "wasm_hash", "left").withColumn("contract_count", F.coalesce("contract_count", F.lit(0)))
 
 
-def _file_system(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
-
+def write_contracts(arrivals: DataFrame, codes_of: Callable[[DataFrame], DataFrame], folder: str, order: str = "created_ledger") -> None:
+    """Merges contracts and their code into tables that lie in hash buckets; only buckets of the arrivals' keys are read,
+    and only their rows written.
 
-def versions(spark: SparkSession, folder: str, table: str) -> list[int]:
-    """Complete versions of a table that is replaced as a whole, in rising order."""
-    fs, path = _file_system(spark, f"{folder}/{table}")
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = sorted(int(n.removeprefix("v")) for n in names if n.startswith("v") and n[1:].isdigit())
-    return [n for n in numbers if fs.exists(_file_system(spark, f"{folder}/{table}/v{n}/_SUCCESS")[1])]
-
-
-def read_version(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The newest complete version; empty if there is none."""
-    found = versions(spark, folder, table)
-    if not found:
-        return spark.createDataFrame([], table_schema(table))
-    return spark.read.schema(table_schema(table)).parquet(f"{folder}/{table}/v{found[-1]}")
-
-
-def replace(df: DataFrame, folder: str, table: str, keep: int = 3) -> None:
-    """Writes the rows as the table's next version. A crash leaves the version before it in place.
-
-    A version counts once its job has put the success mark, which comes last; readers of the last ``keep`` versions
-    aren't disturbed.
+    How many contracts have a code is counted from the pairs in ``code_users``, for the codes that the arrivals change.
+    Contracts are written last: a crash before leaves the old ones, and a replay works the same out again.
     """
-    spark = df.sparkSession
-    found = versions(spark, folder, table)
-    number = (found[-1] if found else 0) + 1
-    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{folder}/{table}/v{number}")
-    for old in found[: max(0, len(found) + 1 - keep)]:
-        fs, path = _file_system(spark, f"{folder}/{table}/v{old}")
-        fs.delete(path, True)
+    spark = arrivals.sparkSession
+    new = fold(arrivals, "contract_id", order, **CONTRACT_POLICY)
+    old = deltas.touched(spark, folder, "contracts", new).drop(deltas.CHUNK).persist()
+    merged = merge(old, new, "contract_id", **CONTRACT_POLICY).persist()
+    try:
+        pairs = lambda df: df.filter("wasm_hash IS NOT NULL").select("wasm_hash", "contract_id")
+        now, was = pairs(merged), pairs(old)
+        deltas.commit(now, folder, "code_users", deletes=was.union(now))
+        hashes = now.union(was).select("wasm_hash").distinct().persist()
+        counts = deltas.touched(spark, folder, "code_users", hashes).groupBy("wasm_hash").agg(F.count("*").alias("contract_count"))
+        before = deltas.touched(spark, folder, "contract_code", hashes).drop(deltas.CHUNK, "contract_count")
+        code = merge(before, codes_of(now).dropDuplicates(["wasm_hash"]), "wasm_hash", **CODE_POLICY)
+        code = code.join(counts, "wasm_hash", "left").withColumn("contract_count", F.coalesce("contract_count", F.lit(0)))
+        deltas.put(code.persist(), folder, "contract_code")
+        deltas.put(merged, folder, "contracts")
+        code.unpersist(), hashes.unpersist()
+    finally:
+        merged.unpersist(), old.unpersist()
 
 
 def advance_cursor(state: DataFrame, seen: DataFrame, column: str = "sequence", key: str = "last_ingested_ledger") -> DataFrame:
@@ -155,30 +134,7 @@ def delete_ledger(sequence: int, ledgers: DataFrame, transactions: DataFrame, op
 def reset_cursor(spark: SparkSession, folder: str, key: str = "last_ingested_ledger") -> None:
     """Deletes one key of the ingestion state, by a row that takes back the ones before it; tables stay as they are."""
     gone = spark.range(1, numPartitions=1).select(F.lit(key).alias("key"), F.lit(None).cast("string").alias("value"), F.current_timestamp().alias("updated_at"))
-    gone.write.mode("append").parquet(f"{folder}/ingestion_state")
-
-
-def reset(spark: SparkSession, folder: str, table: str) -> None:
-    """Empties a table."""
-    empty = spark.createDataFrame([], table_schema(table))
-    if table in CHUNKS:
-        empty = empty.withColumn(CHUNK, chunk_of(table))
-    empty.write.mode("overwrite").parquet(f"{folder}/{table}")
-
-
-def compact(spark: SparkSession, folder: str, table: str, before: str) -> int:
-    """Rewrites the chunks that start before a date, clustered by segment and newest first; returns how many.
-
-    A chunk is split over tasks by its segment, so readers of one segment skip most files and row groups.
-    """
-    column, segment = CHUNKS[table][0], SEGMENTS[table]
-    old = read(spark, folder, table).filter(F.col(CHUNK) < before)
-    n = old.select(CHUNK).distinct().count()
-    if n:
-        staged = f"{folder}/_compacted_{table}"
-        old.repartition(CHUNK, segment).sortWithinPartitions(CHUNK, segment, F.desc(column)).write.mode("overwrite").option("compression", "zstd").partitionBy(CHUNK).parquet(staged)
-        spark.read.parquet(staged).withColumn(CHUNK, F.col(CHUNK).cast("string")).sortWithinPartitions(CHUNK, segment, F.desc(column)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(CHUNK).parquet(f"{folder}/{table}")
-    return n
+    deltas.commit(gone, folder, "ingestion_state")
 
 
 def evolve(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspring.functions.operations import ASSET, BODY, MUXED
@@ -67,10 +69,36 @@ TABLES = {
         "creator_account string, created_ledger bigint, created_at timestamp, updated_at timestamp"
     ),
     "contract_code": "wasm_hash string, wasm_bytecode binary, wasm_size int, contract_spec string, spec_parsed string, contract_count bigint",
+    "code_users": "wasm_hash string, contract_id string",
     "ingestion_state": "key string, value string, updated_at timestamp",
     "detected_contracts": "contract_id string, created_ledger bigint, created_at timestamp",
-    "ingest_counters": "low bigint, high bigint, ledgers bigint, transactions bigint, operations bigint, token_events bigint, contract_events bigint, errors bigint, publish_errors bigint, at timestamp",
+    "ingest_counters": "low bigint, high bigint, ledgers bigint, transactions bigint, operations bigint, token_events bigint, contract_events bigint, errors bigint, publish_errors bigint, request string, at timestamp",
     "quarantine": "source string, reason string, ledger bigint, row string",
+    "ledger_presence": "bucket bigint, bits binary",
+    "agg_balances": "asset_code string, asset_issuer string, holder string, balance decimal(38,0), upto bigint, mark boolean",
+    "agg_supply": "asset_code string, asset_issuer string, supply decimal(38,0), upto bigint, mark boolean",
+    "agg_transfer_candles": (
+        "asset_code string, asset_issuer string, day date, open struct<at:timestamp,ledger:bigint,ordinal:int,amount:decimal(38,0)>, high decimal(38,0), low decimal(38,0),"
+        "close struct<at:timestamp,ledger:bigint,ordinal:int,amount:decimal(38,0)>, n bigint, upto bigint, mark boolean"
+    ),
+    "agg_days": "day date, n bigint, fees bigint, n_fees bigint, n_soroban bigint, upto bigint, mark boolean",
+    "agg_contract_events": "contract_id string, event_count bigint, upto bigint, mark boolean",
+}
+
+#: Keys of aggregates that are kept as partial rows, and how their columns merge.
+STATE_KEYS = {
+    "agg_balances": ["asset_code", "asset_issuer", "holder"],
+    "agg_supply": ["asset_code", "asset_issuer"],
+    "agg_transfer_candles": ["asset_code", "asset_issuer", "day"],
+    "agg_days": ["day"],
+    "agg_contract_events": ["contract_id"],
+}
+MERGES = {
+    "agg_balances": {"balance": "sum"},
+    "agg_supply": {"supply": "sum"},
+    "agg_transfer_candles": {"open": "min", "high": "max", "low": "min", "close": "max", "n": "sum"},
+    "agg_days": {"n": "sum", "fees": "sum", "n_fees": "sum", "n_soroban": "sum"},
+    "agg_contract_events": {"event_count": "sum"},
 }
 
 #: Natural keys by which a replayed row is known, and the column and unit of the time partitions.
@@ -81,5 +109,34 @@ KEYS = {
     "token_events": ["ledger_sequence", "event_ordinal"],
     "contract_events": ["transaction_hash", "event_ordinal"],
 }
+#: Keys of tables that lie in hash buckets, each bucket a chunk, and their number.
+BUCKETS = {"contracts": ("contract_id", 64), "contract_code": ("wasm_hash", 64), "code_users": ("wasm_hash", 64)}
+BUCKET_KEYS = {"contracts": ["contract_id"], "contract_code": ["wasm_hash"], "code_users": ["wasm_hash", "contract_id"]}
 CHUNKS = {"ledgers": ("closed_at", "month"), "transactions": ("created_at", "week"), "operations": ("created_at", "week"), "token_events": ("created_at", "week"), "contract_events": ("created_at", "week")}
 SEGMENTS = {"ledgers": "closed_at", "transactions": "account", "operations": "type", "token_events": "event_type", "contract_events": "contract_id"}
+
+
+def folded_state(rows: DataFrame) -> DataFrame:
+    """Of each key what readers of the state ask for: the last deletion, and since then the least, greatest and newest values."""
+    key = Window.partitionBy("key")
+    told = rows.withColumn("_gone", F.max(F.when(F.col("value").isNull(), F.col("updated_at"))).over(key))
+    told = told.filter((F.col("value").isNull() & (F.col("updated_at") == F.col("_gone"))) | F.col("_gone").isNull() | (F.col("updated_at") > F.col("_gone")))
+    number, live = F.col("value").try_cast("bigint"), Window.partitionBy("key", F.col("value").isNull())
+    ends = (F.min(number).over(live) == number) | (F.max(number).over(live) == number) | (F.max("updated_at").over(live) == F.col("updated_at"))
+    return told.withColumn("_keep", F.col("value").isNull() | F.coalesce(ends, F.lit(False))).filter("_keep").select(*rows.columns).distinct()
+
+
+def folded_counters(rows: DataFrame) -> DataFrame:
+    """One row for each day."""
+    sums = [c for c in rows.columns if c not in ("low", "high", "request", "at")]
+    days = rows.groupBy(F.to_date("at").alias("_day")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("at").alias("at"), *(F.sum(c).alias(c) for c in sums))
+    return days.select(*(F.col(c) if c != "request" else F.lit(None).cast("string").alias(c) for c in rows.columns))
+
+
+def folded_presence(rows: DataFrame) -> DataFrame:
+    """One bitmap for each bucket."""
+    return rows.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+#: How compaction merges the rows of tables that only their sums or ends are read of.
+FOLDS = {"ingestion_state": folded_state, "ingest_counters": folded_counters, "ledger_presence": folded_presence}

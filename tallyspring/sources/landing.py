@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Ledgers of a partition folder of the data lake.
 LEDGERS_PER_PARTITION = 64_000
+PART = "part"
 #: No ledger document exists under this sequence.
 FIRST_LEDGER = 3
 
@@ -29,6 +30,40 @@ def lake_partition(sequence: Column) -> Column:
     return F.floor(sequence / LEDGERS_PER_PARTITION).cast("bigint")
 
 
+def land(rows: DataFrame, path: str, column: str) -> None:
+    """Adds landing rows in the lake's layout, partitioned by ``part``."""
+    rows.withColumn(PART, lake_partition(F.col(column))).write.mode("append").partitionBy(PART).parquet(path)
+
+
+def raw(spark: SparkSession, path: str, schema: str, parts: list[int] | None = None) -> DataFrame:
+    """Landing rows of all parts, or of those of a list; only their folders are listed. Parts that aren't there are left out."""
+    reader = spark.read.schema(f"{schema}, {PART} bigint").option("basePath", path)
+    if parts is None:
+        return reader.parquet(path)
+    there = set(parts_there(spark, path))
+    found = [f"{path}/{PART}={p}" for p in sorted(set(parts) & there)]
+    return reader.parquet(*found).filter(F.col(PART).isin(sorted(set(parts)))) if found else spark.createDataFrame([], f"{schema}, {PART} bigint")
+
+
+def parts_there(spark: SparkSession, path: str) -> list[int]:
+    """The parts that have a folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(there)] if fs.exists(there) else []
+    return sorted(int(n.removeprefix(f"{PART}=")) for n in names if n.startswith(f"{PART}="))
+
+
+def parts_from(path: str, least: int) -> str:
+    """A path pattern for the parts from ``least`` on, so that a stream doesn't list the history before it."""
+    digits = str(max(0, least))
+    told = [digits]
+    for k, d in enumerate(digits):
+        if d < "9":
+            told.append(f"{digits[:k]}[{int(d) + 1}-9]" + "[0-9]" * (len(digits) - k - 1))
+    told.append("[1-9]" + "[0-9]" * len(digits) + "*")
+    return f"{path}/{PART}={{{','.join(told)}}}"
+
+
 def latest(landing: DataFrame, column: str = "sequence") -> DataFrame:
     return landing.agg(F.max(column).alias("latest"))
 

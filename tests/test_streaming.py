@@ -6,9 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspring.operators import gaps, writes
+from tallyspring.operators import deltas, gaps, writes
 from tallyspring.schemas import LEDGERS_RAW, TRANSACTIONS_RAW, table_schema
-from tallyspring.streaming import ingest
+from tallyspring.sources import landing
+from tallyspring.streaming import ingest, lease
 
 HEADER = (1, b"\x01", 10**12, 100000, 100, 5000000, 1000, 21)
 
@@ -31,8 +32,8 @@ def lake(spark, tmp_path):
     made = ingest.Lake(str(tmp_path / "ledgers"), str(tmp_path / "transactions"), str(tmp_path / "tables"), b"network")
     ingest.create_tables(spark, made)
     for part in (range(3, 20), range(20, 40)):
-        ledgers(spark, part).write.mode("append").parquet(made.ledgers)
-        transactions(spark, part).write.mode("append").parquet(made.transactions)
+        landing.land(ledgers(spark, part), made.ledgers, "sequence")
+        landing.land(transactions(spark, part), made.transactions, "ledger")
     return made
 
 
@@ -59,23 +60,23 @@ def test_backfill_replay_repair_and_cursor(spark, lake):
     assert ingest.landing.cursor(lake.table(spark, "ingestion_state")).first()[0] == 35
     one = lake.table(spark, "ledgers").filter("sequence = 8").first()
     assert (one["transaction_count"], one["successful_tx_count"], one["failed_tx_count"], one["operation_count"]) == (2, 1, 1, 1)
-    assert spark.read.parquet(f"{lake.tables}/quarantine").filter("source = 'transactions'").count() > 0
+    assert lake.table(spark, "quarantine").filter("source = 'transactions'").count() > 0
 
 
 def test_tail_starts_at_the_tip_and_resumes(spark, lake, tmp_path):
     checkpoint = str(tmp_path / "checkpoint")
     ingest.tail(spark, lake, checkpoint, once=True).awaitTermination()
     assert [r["sequence"] for r in lake.table(spark, "ledgers").collect()] == [39]
-    ledgers(spark, range(40, 45)).write.mode("append").parquet(lake.ledgers)
-    transactions(spark, range(40, 45)).write.mode("append").parquet(lake.transactions)
+    landing.land(ledgers(spark, range(40, 45)), lake.ledgers, "sequence")
+    landing.land(transactions(spark, range(40, 45)), lake.transactions, "ledger")
     for _ in range(2):
         ingest.tail(spark, lake, checkpoint, once=True).awaitTermination()
         assert sorted(r["sequence"] for r in lake.table(spark, "ledgers").collect()) == list(range(39, 45))
 
 
 def land(spark, lake, ids):
-    ledgers(spark, ids).coalesce(1).write.mode("append").parquet(lake.ledgers)
-    transactions(spark, ids).coalesce(1).write.mode("append").parquet(lake.transactions)
+    landing.land(ledgers(spark, ids).coalesce(1), lake.ledgers, "sequence")
+    landing.land(transactions(spark, ids).coalesce(1), lake.transactions, "ledger")
 
 
 def there(spark, lake):
@@ -141,7 +142,7 @@ def test_bad_times_never_stop_a_batch(spark, bare):
     rows = [(1, str(2**63 - 1)), (2, "2024-01"), (3, "12:30"), (4, "1700000000"), (5, None)]
     raw = spark.createDataFrame([(i, f"h{i}", at, (i, *HEADER[1:]), None, []) for i, at in rows], LEDGERS_RAW)
     late = transactions(spark, [4, 5]).withColumn("created_at", F.when(F.col("ledger") == 5, 2**62).otherwise(F.col("created_at")))
-    late.write.parquet(bare.transactions)
+    landing.land(late, bare.transactions, "ledger")
     counts = ingest.process(spark, bare, raw)
     assert there(spark, bare) == [4] and counts["errors"] == 4 + 2 and counts["transactions"] == 1
 
@@ -154,7 +155,7 @@ def test_events_reach_their_tables(spark, bare):
     contract = [("created", "contract_data", "contract", b"\x0a", "instance")]
     body = [(24, "OperationTypeInvokeHostFunction", None, None)]
     row = (4, 1, "SUCCESS", False, 1700000000, b"p", ("G1", None, None), 1, 100, ("tx_success", 1), (0, None, None, None), body, (4, contract, None, [(None, [event])]), "e", "r", "m")
-    spark.createDataFrame([row], TRANSACTIONS_RAW).write.parquet(bare.transactions)
+    landing.land(spark.createDataFrame([row], TRANSACTIONS_RAW), bare.transactions, "ledger")
     for _ in range(2):
         counts = ingest.process(spark, bare, raw)
         assert (counts["token_events"], counts["contract_events"], counts["errors"]) == (1, 1, 1)
@@ -188,7 +189,7 @@ def test_deleting_the_cursor_alone(spark, bare):
 def test_compaction_keeps_rows(spark, lake):
     ingest.backfill(spark, lake, 3, 39)
     before = lake.table(spark, "operations").agg(F.sum(F.xxhash64(*(f.name for f in table_schema("operations").fields)).cast("decimal(38,0)"))).first()
-    assert writes.compact(spark, lake.tables, "operations", "2999-01-01") >= 1
+    assert deltas.compact(spark, lake.tables, "operations", "2999-01-01") >= 1
     assert lake.table(spark, "operations").agg(F.sum(F.xxhash64(*(f.name for f in table_schema("operations").fields)).cast("decimal(38,0)"))).first() == before
     assert "PartitionFilters: [isnotnull(chunk" in lake.table(spark, "operations").filter("chunk = '2023-11-13'")._jdf.queryExecution().toString()
 
@@ -200,16 +201,18 @@ def test_bad_close_time_goes_to_quarantine(spark, lake):
 
 def test_reset(spark, lake):
     ingest.backfill(spark, lake, 3, 5)
-    writes.reset(spark, lake.tables, "ledgers")
-    assert spark.read.schema(table_schema("ledgers")).parquet(f"{lake.tables}/ledgers").count() == 0
+    deltas.reset(spark, lake.tables, "ledgers")
+    assert lake.table(spark, "ledgers").count() == 0
+    ingest.backfill(spark, lake, 4, 6)
+    assert there(spark, lake) == [4, 5, 6]
 
 
 def test_contract_side_stream(spark, lake, tmp_path):
     from tallyspring.schemas import CODES, INSTANCES, TOKEN_METADATA
 
     now = datetime.datetime(2024, 1, 1)
-    spark.createDataFrame([("c1", 5, now), ("c1", 5, now)], "contract_id string, created_ledger bigint, created_at timestamp").write.mode("append").parquet(f"{lake.tables}/detected_contracts")
-    spark.createDataFrame([("c2", 6, now)], "contract_id string, created_ledger bigint, created_at timestamp").write.mode("append").parquet(f"{lake.tables}/detected_contracts")
+    for rows in ([("c1", 5, now), ("c1", 5, now)], [("c2", 6, now)]):
+        deltas.commit(spark.createDataFrame(rows, "contract_id string, created_ledger bigint, created_at timestamp"), lake.tables, "detected_contracts")
     instances = spark.createDataFrame([("c1", "asset", None), ("c2", "wasm", b"\xaa")], INSTANCES)
     codes = spark.createDataFrame([("aa", b"code", "c3BlYw==", [("function_v0", "transfer", "", [("to", "address")], ["bool"]), ("struct", "S", None, None, None)])], CODES)
     metadata = spark.createDataFrame([("c1", "N", "S", 7)], TOKEN_METADATA)
@@ -220,17 +223,3 @@ def test_contract_side_stream(spark, lake, tmp_path):
         code = lake.table(spark, "contract_code").collect()
         assert [(r["wasm_hash"], r["wasm_bytecode"], r["wasm_size"], r["contract_spec"], r["contract_count"]) for r in code] == [("aa", b"code", 4, "c3BlYw==", 1)]
         assert json.loads(code[0]["spec_parsed"]) == [{"kind": "function_v0", "name": "transfer", "doc": "", "inputs": [{"name": "to", "type": "address"}], "outputs": ["bool"]}, {"kind": "struct", "name": "S"}]
-
-
-def test_a_crash_while_a_table_is_replaced_leaves_the_old_one(spark, lake):
-    row = spark.createDataFrame([("c1", 1)], "contract_id string, contract_type smallint")
-    full = row.select(*(F.col(f.name) if f.name in row.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table_schema("contracts").fields))
-    writes.replace(full, lake.tables, "contracts")
-    last = writes.versions(spark, lake.tables, "contracts")[-1]
-    # what a job that died before its success mark leaves
-    torn = f"{lake.tables}/contracts/v{last + 1}"
-    full.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(torn)
-    assert writes.versions(spark, lake.tables, "contracts")[-1] == last and lake.table(spark, "contracts").count() == 1
-    for _ in range(5):
-        writes.replace(full.union(full), lake.tables, "contracts")
-    assert lake.table(spark, "contracts").count() == 2 and len(writes.versions(spark, lake.tables, "contracts")) == 3
