@@ -49,6 +49,37 @@ def merged(turns: Column) -> Column:
     return F.get(F.transform(F.array(starts), blocks), F.lit(0))
 
 
+def running_totals(numbers: Column) -> Column:
+    """Sums of an array's numbers up to each. An array that grows by one is copied each time, so totals are taken in about
+    sqrt(n) runs of sqrt(n) numbers, and then of the runs: n * sqrt(n) small steps for n numbers."""
+
+    def totals(run: Column) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            return F.struct((state["sum"] + x).alias("sum"), F.concat(state["all"], F.array(state["sum"] + x)).alias("all"))
+
+        return F.aggregate(run, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")), add, lambda state: state["all"])
+
+    def of(told: Column) -> Column:
+        values, width = told["values"], told["width"]
+        runs = F.transform(F.sequence(F.lit(0), F.size(values) - 1, width), lambda at: totals(F.slice(values, at + 1, width)))
+
+        def shifted(both: Column) -> Column:
+            def moved(before: Column) -> Column:
+                return F.flatten(F.transform(both, lambda run, k: let(F.coalesce(F.get(before, k - 1), F.lit(0)), lambda ahead: F.transform(run, lambda x: x + ahead))))
+
+            return let(totals(F.transform(both, lambda run: F.element_at(run, -1))), moved)
+
+        return let(runs, shifted)
+
+    root = lambda values: F.struct(values.alias("values"), F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1)).alias("width"))
+    return let(let(numbers, root), of)
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def format_conversations(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: id, formatted, loss_spans.
 
@@ -59,26 +90,22 @@ def format_conversations(df: DataFrame, *, conv_col: str = "conv_id", turn_col:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), escape_role(empty(role_col)).alias("role"), escape(empty(text_col)).alias("text")).alias("t"))
     grouped = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = grouped.select("conv", merged(F.col("turns")).alias("blocks"))
     one = lambda b: F.concat(F.lit(OPEN), b["role"], F.lit("\n"), F.array_join(b["texts"], ALSO), F.lit(CLOSE))
+    turns = F.col("turns")
 
-    def add_block(state: Column, b: Column) -> Column:
-        """Places of the block's texts if they bear loss; state: place in ``formatted``, spans so far."""
-        first = state["at"] + len(OPEN) + F.length(b["role"]) + 1
-
-        def add_text(inner: Column, text: Column) -> Column:
-            span = F.struct(inner["at"].alias("start"), (inner["at"] + F.length(text)).alias("end"))
-            return F.struct((inner["at"] + F.length(text) + len(ALSO)).alias("at"), F.concat(inner["spans"], F.when(b["role"] == escape_role(F.lit(loss_role)), F.array(span)).otherwise(no_spans())).alias("spans"))
-
-        inside = F.aggregate(b["texts"], F.struct(first.alias("at"), state["spans"].alias("spans")), add_text)
-        return F.get(F.transform(F.array(inside), lambda x: F.struct((x["at"] - len(ALSO) + len(CLOSE)).alias("at"), x["spans"].alias("spans"))), F.lit(0))
-
-    spans = F.aggregate("blocks", F.struct(F.lit(0).alias("at"), no_spans().alias("spans")), add_block, lambda s: s["spans"])
-    return blocks.select(F.col("conv").alias(conv_col), F.array_join(F.transform("blocks", one), "").alias("formatted"), spans.alias("loss_spans"))
+    def with_lead(t: Column, i: Column) -> Column:
+        """A turn's length with what stands before its text: the end of a block and the head of the next, or a mark."""
+        head = len(OPEN) + F.length(t["role"]) + 1
+        lead = F.when(i == 0, head).when(F.get(turns, i - 1)["role"] != t["role"], head + len(CLOSE)).otherwise(len(ALSO))
+        return lead + F.length(t["text"])
 
+    def span(t: Column, end: Column) -> Column:
+        return F.struct(F.when(t["role"] == escape_role(F.lit(loss_role)), end - F.length(t["text"])).alias("start"), end.alias("end"))
 
-def no_spans() -> Column:
-    return F.array().cast("array<struct<start:int,end:int>>")
+    told = grouped.select("conv", "turns", running_totals(F.transform(turns, with_lead)).alias("ends"))
+    spans = F.filter(F.zip_with("turns", "ends", span), lambda x: x["start"].isNotNull())
+    formatted = F.array_join(F.transform(merged(turns), one), "")
+    return told.select(F.col("conv").alias(conv_col), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -93,9 +120,22 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.split(formatted, CLOSE), lambda b: b != ""), turns))
 
 
+#: Code points of the pieces that spans are cut from.
+PIECE = 1024
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """All text under the loss mask, unescaped, nothing between. A place in a long string is found by counting from its
+    start, so spans are cut from short pieces of it."""
+
+    def cut(pieces: Column, s: Column) -> Column:
+        first, last = (s["start"] / PIECE).cast("int"), (s["end"] / PIECE).cast("int")
+        head = F.substring(F.get(pieces, first), s["start"] % PIECE + 1, s["end"] - s["start"])
+        tail = F.substring(F.coalesce(F.get(pieces, last), F.lit("")), F.lit(1), s["end"] % PIECE)
+        return F.when(first == last, head).otherwise(F.concat(head, F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), tail))
+
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(pieces, lambda p: F.array_join(F.transform(spans, lambda s: unescape(F.coalesce(cut(p, s), F.lit("")))), ""))
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
