@@ -113,9 +113,10 @@ def test_tail_caps_its_batches_and_runs_at_intervals(spark, bare, tmp_path):
     query.processAllAvailable()
     read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
     query.stop()
-    assert there(spark, bare) == list(range(3, 9)) and len(read) == 3
-    counters = bare.table(spark, "ingest_counters").orderBy("at").collect()
-    assert [(r["low"], r["high"]) for r in counters] == [(3, 3), (4, 5), (6, 7), (8, 8)]
+    assert there(spark, bare) == list(range(3, 9)) and len(read) in (3, 4)
+    spans = [(r["low"], r["high"]) for r in bare.table(spark, "ingest_counters").orderBy("at").collect()]
+    # the last ledger's transactions may land after the query has seen the ledger
+    assert spans[:3] == [(3, 3), (4, 5), (6, 7)] and set(spans[3:]) == {(8, 8)}
 
 
 def test_errors_in_sending_are_counted_only(spark, bare, tmp_path):
@@ -191,7 +192,10 @@ def test_compaction_keeps_rows(spark, lake):
     before = lake.table(spark, "operations").agg(F.sum(F.xxhash64(*(f.name for f in table_schema("operations").fields)).cast("decimal(38,0)"))).first()
     assert deltas.compact(spark, lake.tables, "operations", "2999-01-01") >= 1
     assert lake.table(spark, "operations").agg(F.sum(F.xxhash64(*(f.name for f in table_schema("operations").fields)).cast("decimal(38,0)"))).first() == before
+    most = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
     assert "PartitionFilters: [isnotnull(chunk" in lake.table(spark, "operations").filter("chunk = '2023-11-13'")._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", most)
 
 
 def test_bad_close_time_goes_to_quarantine(spark, lake):
