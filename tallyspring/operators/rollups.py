@@ -24,7 +24,7 @@ def newest_where(df: DataFrame, table: str, values: dict[str, object], time: str
     """The n newest rows whose columns have the values, such as a contract's with a topic.
 
     The values and the path's own condition are plain filters, so they reach the scan, and rows that are clustered by
-    ``writes.compact`` are skipped by file.
+    ``deltas.compact`` are skipped by file.
     """
     paths = ACCESS_PATHS[table]
     if unknown := set(values) - set(paths):

@@ -50,7 +50,7 @@ def check(spark, folder):
         assert rows_of(found) == rows_of(expected.select(found.columns).select(*decimals)), name
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_steps_in_any_order_equal_the_whole(spark, tmp_path, seed):
     folder, r = str(tmp_path), random.Random(seed)
     ids, tx = list(range(400)), list(range(100))
