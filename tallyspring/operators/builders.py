@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspring.functions import scalars as S
 from tallyspring.functions.addresses import split_addresses
 from tallyspring.functions.operations import details, promoted
+from tallyspring.operators import trees
 from tallyspring.schemas import table_schema
 
 
@@ -80,13 +81,13 @@ def has_contract_operation(operations: Column) -> Column:
 
 
 def operation_table(transactions_raw: DataFrame, domain: Column, hold: Hold = as_is) -> tuple[DataFrame, DataFrame]:
-    """One row per operation, in order from 1; those with a claim predicate that can't be shown go to quarantine."""
+    """One row per operation, in order from 1; those with a claim predicate that can't be shown at any depth go to quarantine."""
     good = transactions_raw.filter(transaction_problem().isNull())
     each = good.select(S.transaction_digest(domain, F.col("hash_payload")).alias("transaction_hash"), F.col("ledger").alias("ledger_sequence"), S.epoch_time(F.col("created_at")).alias("created_at"), F.posexplode("operations").alias("pos", "o"))
     each = each.withColumn("type_name", S.type_name(F.col("o.type_name"), F.col("o.type")))
     name, body = F.col("type_name"), F.col("o.body")
     predicates = F.when(name == "create_claimable_balance", F.transform(body["claimants"], lambda c: S.predicate(c["predicate"])))
-    each = each.withColumn("predicates", predicates)
+    each = trees.complete(each.withColumn("predicates", predicates), F.transform(body["claimants"], lambda c: c["predicate"]), "predicates", trees.PREDICATES, hold)
     each, bad = split(each, F.when(F.exists("predicates", lambda p: p.isNull()), "predicate"), hold)
     rows = each.select(
         "transaction_hash", (F.col("pos") + 1).alias("application_order"), "o.type", "type_name", F.col("o.source.base").alias("source_account"), F.col("o.source.muxed").alias("source_account_muxed"),
@@ -98,20 +99,23 @@ def operation_table(transactions_raw: DataFrame, domain: Column, hold: Hold = as
 def contract_event_table(transactions_raw: DataFrame, domain: Column, hold: Hold = as_is) -> tuple[DataFrame, DataFrame]:
     """Events with a contract and a version-0 body, in order inside their transaction.
 
-    Events with a topic or a value that is there but can't be shown go to quarantine.
+    Events with a topic or a value that is there but can't be shown at any depth go to quarantine.
     """
     good = transactions_raw.filter(transaction_problem().isNull())
     events = S.versioned_events(F.col("meta.v"), F.col("meta.v3_events"), F.col("meta.operations"))
     each = good.select(S.transaction_digest(domain, F.col("hash_payload")).alias("transaction_hash"), F.col("ledger").alias("ledger_sequence"), S.epoch_time(F.col("created_at")).alias("created_at"), F.posexplode(events).alias("event_ordinal", "e"))
     each = each.filter(F.col("e.contract_id").isNotNull() & (F.col("e.body_v") == 0))
-    each = each.withColumn("shown", F.transform("e.topics", lambda t: S.display(t["val"]))).withColumn("shown_value", S.display(F.col("e.data.val")))
+    # the topics and then the value, as one list; null topics give null texts
+    values = F.concat(F.coalesce(F.transform("e.topics", lambda t: t["val"]), F.array().cast("array<variant>")), F.array("e.data.val"))
+    each = trees.complete(each.withColumn("texts", F.transform(values, lambda v: S.display(v))), values, "texts", trees.VALUES, hold)
+    each = each.withColumn("shown", F.when(F.col("e.topics").isNotNull(), F.slice("texts", 1, F.size("texts") - 1))).withColumn("shown_value", F.element_at("texts", -1))
     hidden = F.exists(F.zip_with("e.topics", "shown", lambda t, text: t["val"].isNotNull() & text.isNull()), lambda x: x)
     each, bad = split(each, F.when(hidden, "topics").when(F.col("e.data.val").isNotNull() & F.col("shown_value").isNull(), "value"), hold)
     rows = each.select(
         S.hex_text(F.col("e.contract_id")).alias("contract_id"), "transaction_hash", "ledger_sequence", "event_ordinal", "e.type", *(S.topic(F.col("shown"), i).alias(f"topic_{i + 1}") for i in range(4)),
         F.to_json(F.transform("e.topics", lambda t: t["xdr"])).alias("topics_xdr"), F.col("e.data.xdr").alias("value_xdr"), F.to_json("shown").alias("topics_decoded"), S.json_string(F.col("shown_value")).alias("value_decoded"), "created_at",
     )
-    return typed(rows, "contract_events"), bad.drop("shown", "shown_value")
+    return typed(rows, "contract_events"), bad.drop("texts", "shown", "shown_value")
 
 
 #: Widths of token-event fields in bytes, and the reason told for a wider one.

@@ -233,8 +233,10 @@ def compact(spark: SparkSession, folder: str, table: str, before: str | None = N
         if table in SEGMENTS:
             order = (CHUNK, SEGMENTS[table], F.desc(CHUNKS[table][0]))
             rows = rows.repartition(CHUNK, SEGMENTS[table]).sortWithinPartitions(*order)
+        elif table in BUCKETS:  # ranges split a bucket that one key fills
+            rows = rows.repartitionByRange(CHUNK, *keys_of(table)).sortWithinPartitions(CHUNK, *keys_of(table))
         else:
-            rows = rows.repartition(CHUNK).sortWithinPartitions(CHUNK, *(keys_of(table) if table in BUCKETS else []))
+            rows = rows.repartition(CHUNK).sortWithinPartitions(CHUNK)
         where = f"{root}/base={at.newest}/run={run_name()}"
         rows.withColumn("kind", F.lit("row")).write.option("compression", "zstd").partitionBy("kind", CHUNK).parquet(where)
         if between:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tallyspring.functions import scalars as S
 from tallyspring.functions.addresses import ACCOUNT_VERSION, MUXED_VERSION, checksum, split_addresses
 from tallyspring.functions.operations import BODY, details, promoted
-from tallyspring.operators import builders, contracts, gaps, rollups, writes
+from tallyspring.operators import builders, contracts, gaps, label_index, rollups, trees, writes
 from tallyspring.sources import landing
 from tallyspring.streaming.publish import json_arrays
 
@@ -488,6 +488,25 @@ def label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.label_search(table(spark, sf_dir, "part"), "p_name", ["Small", "ring"]).select("p_partkey", "p_name")
 
 
+@registered("SELECT event_id, repeat('[', (event_id % 10)::INTEGER) || 'e' || event_id || repeat(',a]', (event_id % 10)::INTEGER) AS shown FROM events")
+def deep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of up to nine levels; those over six are taken apart level by level."""
+    levels = (F.col("event_id") % 10).cast("int")
+    text = F.concat(F.repeat(F.lit('{"type":"vec","v":['), levels), F.lit('{"type":"symbol","v":"e'), "event_id", F.lit('"}'), F.repeat(F.lit(',{"type":"symbol","v":"a"}]}'), levels))
+    values = table(spark, sf_dir, "events").select("event_id", F.array(F.parse_json(text)).alias("values"))
+    rows = values.withColumn("shown", F.transform("values", lambda v: S.display(v)))
+    return trees.complete(rows, F.col("values"), "shown", trees.VALUES, DataFrame.persist).select("event_id", F.element_at("shown", 1).alias("shown"))
+
+
+@registered("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'small') AND len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'r'))) > 0")
+def label_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of two terms, one of them the beginning of a word, by postings."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    entries = label_index.postings(parts, "p_partkey", "p_name")
+    wanted = label_index.matching(label_index.terms_table(spark, ["Small", "r*"]), entries.select("word").distinct())
+    return parts.join(label_index.found(entries, wanted, 2).withColumnRenamed("id", "p_partkey"), "p_partkey", "left_semi")
+
+
 MOVES_SQL = """
 moves AS (SELECT CASE event_type WHEN 'click' THEN 'mint' WHEN 'error' THEN 'burn' WHEN 'purchase' THEN 'clawback' ELSE 'transfer' END AS kind, event_id % 7 AS code, round(value * 100)::BIGINT AS amount,
   CASE WHEN event_type NOT IN ('click') THEN user_id END AS from_, CASE WHEN event_type NOT IN ('error', 'purchase') THEN event_id % 50 END AS to_ FROM events)

@@ -75,6 +75,9 @@ TABLES = {
     "ingest_counters": "low bigint, high bigint, ledgers bigint, transactions bigint, operations bigint, token_events bigint, contract_events bigint, errors bigint, publish_errors bigint, request string, at timestamp",
     "quarantine": "source string, reason string, ledger bigint, row string",
     "ledger_presence": "bucket bigint, bits binary",
+    "known_accounts": "address string, label string, category string, domain string, description string, tags array<string>, verified boolean, created_at timestamp, updated_at timestamp",
+    "label_postings": "word string, address string",
+    "label_words": "stem string, word string",
     "agg_balances": "asset_code string, asset_issuer string, holder string, balance decimal(38,0), upto bigint, mark boolean",
     "agg_supply": "asset_code string, asset_issuer string, supply decimal(38,0), upto bigint, mark boolean",
     "agg_transfer_candles": (
@@ -110,8 +113,8 @@ KEYS = {
     "contract_events": ["transaction_hash", "event_ordinal"],
 }
 #: Keys of tables that lie in hash buckets, each bucket a chunk, and their number.
-BUCKETS = {"contracts": ("contract_id", 64), "contract_code": ("wasm_hash", 64), "code_users": ("wasm_hash", 64)}
-BUCKET_KEYS = {"contracts": ["contract_id"], "contract_code": ["wasm_hash"], "code_users": ["wasm_hash", "contract_id"]}
+BUCKETS = {"contracts": ("contract_id", 64), "contract_code": ("wasm_hash", 64), "code_users": ("wasm_hash", 64), "known_accounts": ("address", 64), "label_postings": ("word", 64), "label_words": ("stem", 64)}
+BUCKET_KEYS = {"contracts": ["contract_id"], "contract_code": ["wasm_hash"], "code_users": ["wasm_hash", "contract_id"], "known_accounts": ["address"], "label_postings": ["word", "address"], "label_words": ["stem", "word"]}
 CHUNKS = {"ledgers": ("closed_at", "month"), "transactions": ("created_at", "week"), "operations": ("created_at", "week"), "token_events": ("created_at", "week"), "contract_events": ("created_at", "week")}
 SEGMENTS = {"ledgers": "closed_at", "transactions": "account", "operations": "type", "token_events": "event_type", "contract_events": "contract_id"}
 
