@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspring.schemas import BUCKET_KEYS, BUCKETS, CHUNKS, FOLDS, KEYS, SEGMENTS, table_schema
+from tallyspring.schemas import BLOOMS, BUCKET_KEYS, BUCKETS, CHUNKS, FOLDS, KEYS, SEGMENTS, table_schema
 
 CHUNK, WHOLE = "chunk", "all"
 #: Name of the list of chunks that a base is for; its presence ends the base.
 CHUNK_LIST = "_chunks"
 #: Seconds for which replaced files stay.
 GRACE = 3600
+#: Bytes of a row group of compacted files, in memory. A look-up reads whole row groups, so they are smaller than Parquet's own 128 MB.
+ROW_GROUP = 32 << 20
 
 
 @functools.cache
@@ -215,11 +217,32 @@ def touched(spark: SparkSession, folder: str, table: str, keys: DataFrame) -> Da
     return read(spark, folder, table).filter(F.col(CHUNK).isin(chunks)).join(wanted.drop(CHUNK), names, "left_semi")
 
 
-def compact(spark: SparkSession, folder: str, table: str, before: str | None = None, *, grace: float = GRACE, between: Callable[[], None] | None = None, fold: Callable[[DataFrame], DataFrame] | None = None) -> int:
+def skipping(table: str, row_group: int = ROW_GROUP) -> dict[str, str]:
+    """Write options by which readers skip row groups: small ones, and Bloom filters of the columns that rows are looked up by.
+
+    A filter's size follows the number of distinct values in its row group, a megabyte at most. Parquet leaves it out
+    where a column's dictionary tells the same.
+    """
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOMS.get(table, ())}
+    return {"parquet.block.size": str(row_group), **({"parquet.bloom.filter.adaptive.enabled": "true"} if blooms else {}), **blooms}
+
+
+def compact(
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    before: str | None = None,
+    *,
+    grace: float = GRACE,
+    between: Callable[[], None] | None = None,
+    fold: Callable[[DataFrame], DataFrame] | None = None,
+    row_group: int = ROW_GROUP,
+) -> int:
     """Rewrites the chunks that have later versions, all or those that start before a date; returns how many.
 
-    Rows are clustered by segment and newest first, and a chunk is split over tasks by its segment, so readers of one
-    segment skip most files and row groups. ``fold`` (of ``schemas.FOLDS`` if none is given) merges the rows of a table
+    Rows are clustered by segment and newest first, and a chunk is split over tasks by ranges of (segment, time), so a
+    segment with most of a chunk's rows is no single task, and readers of one segment skip most files and row groups.
+    Readers by another column skip row groups by Bloom filters (``skipping``). ``fold`` (of ``schemas.FOLDS`` if none is given) merges the rows of a table
     without time partitions. ``between`` is called when the rows are written and before they count.
     """
     root, at = f"{folder}/{table}", layout(spark, folder, table)
@@ -232,13 +255,13 @@ def compact(spark: SparkSession, folder: str, table: str, before: str | None = N
             rows = fold(rows.drop(CHUNK)).withColumn(CHUNK, F.lit(WHOLE))
         if table in SEGMENTS:
             order = (CHUNK, SEGMENTS[table], F.desc(CHUNKS[table][0]))
-            rows = rows.repartition(CHUNK, SEGMENTS[table]).sortWithinPartitions(*order)
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         elif table in BUCKETS:  # ranges split a bucket that one key fills
             rows = rows.repartitionByRange(CHUNK, *keys_of(table)).sortWithinPartitions(CHUNK, *keys_of(table))
         else:
             rows = rows.repartition(CHUNK).sortWithinPartitions(CHUNK)
         where = f"{root}/base={at.newest}/run={run_name()}"
-        rows.withColumn("kind", F.lit("row")).write.option("compression", "zstd").partitionBy("kind", CHUNK).parquet(where)
+        rows.withColumn("kind", F.lit("row")).write.option("compression", "zstd").options(**skipping(table, row_group)).partitionBy("kind", CHUNK).parquet(where)
         if between:
             between()
         Files(spark, root).put(f"{where}/{CHUNK_LIST}", json.dumps(chunks))

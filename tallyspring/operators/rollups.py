@@ -13,7 +13,7 @@ def newest(df: DataFrame, time: str, n: int = 5) -> DataFrame:
 
 #: Columns by which the newest rows of a table are looked up, and the rows that such a look-up is about.
 ACCESS_PATHS = {
-    "transactions": {"account": None, "ledger_sequence": None, "is_soroban": "is_soroban"},
+    "transactions": {"hash": None, "account": None, "ledger_sequence": None, "is_soroban": "is_soroban"},
     "operations": {"transaction_hash": None, "type": None, "source_account": None, "destination": "destination IS NOT NULL", "asset_code": "asset_code IS NOT NULL", "contract_id": "contract_id IS NOT NULL"},
     "contract_events": {"contract_id": None, "topic_1": "topic_1 IS NOT NULL", "transaction_hash": None, "ledger_sequence": None},
     "token_events": {"from_address": "from_address IS NOT NULL", "to_address": "to_address IS NOT NULL", "asset_code": "asset_code IS NOT NULL", "transaction_hash": None, "ledger_sequence": None},
@@ -23,15 +23,16 @@ ACCESS_PATHS = {
 def newest_where(df: DataFrame, table: str, values: dict[str, object], time: str = "created_at", n: int = 20) -> DataFrame:
     """The n newest rows whose columns have the values, such as a contract's with a topic.
 
-    The values and the path's own condition are plain filters, so they reach the scan, and rows that are clustered by
-    ``deltas.compact`` are skipped by file.
+    The values and the path's own condition are plain filters, so they reach the scan, which skips files and row groups
+    of ``deltas.compact`` by their ends, dictionaries and Bloom filters. A value has its column's type; a cast around the
+    column would keep the filter from the scan.
     """
     paths = ACCESS_PATHS[table]
     if unknown := set(values) - set(paths):
         raise ValueError(f"no access path of {table} by {sorted(unknown)}")
     found = df
     for column, value in values.items():
-        found = found.filter(F.col(column) == F.lit(value))
+        found = found.filter(F.col(column) == F.lit(value).cast(df.schema[column].dataType))
         found = found.filter(paths[column]) if paths[column] else found
     return newest(found, time, n)
 

@@ -117,6 +117,14 @@ BUCKETS = {"contracts": ("contract_id", 64), "contract_code": ("wasm_hash", 64),
 BUCKET_KEYS = {"contracts": ["contract_id"], "contract_code": ["wasm_hash"], "code_users": ["wasm_hash", "contract_id"], "known_accounts": ["address"], "label_postings": ["word", "address"], "label_words": ["stem", "word"]}
 CHUNKS = {"ledgers": ("closed_at", "month"), "transactions": ("created_at", "week"), "operations": ("created_at", "week"), "token_events": ("created_at", "week"), "contract_events": ("created_at", "week")}
 SEGMENTS = {"ledgers": "closed_at", "transactions": "account", "operations": "type", "token_events": "event_type", "contract_events": "contract_id"}
+#: Columns by which rows are looked up other than by segment and time; compacted files have a Bloom filter for each.
+BLOOMS = {
+    "ledgers": ["hash"],
+    "transactions": ["hash", "account", "ledger_sequence"],
+    "operations": ["transaction_hash", "source_account", "destination", "asset_code", "contract_id"],
+    "token_events": ["transaction_hash", "from_address", "to_address", "asset_code", "ledger_sequence"],
+    "contract_events": ["transaction_hash", "contract_id", "topic_1", "ledger_sequence"],
+}
 
 
 def folded_state(rows: DataFrame) -> DataFrame:
