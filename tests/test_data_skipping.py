@@ -11,10 +11,10 @@ from tallyspring.schemas import BLOOMS, SEGMENTS, table_schema
 N = 24_000
 
 
-def rows_of(spark, table, n=N):
+def rows_of(spark, table, n=N, distinct=9_973):
     """Rows of a week or month whose looked-up columns are unrelated to one another; one segment has most rows."""
     schema = table_schema(table)
-    unlike = lambda c: F.sha2(F.concat_ws("-", F.lit(c), F.col("id") % 9_973), 256)
+    unlike = lambda c: F.sha2(F.concat_ws("-", F.lit(c), F.col("id") % distinct), 256)
     columns = []
     for f in schema.fields:
         kind = f.dataType.simpleString()
@@ -62,6 +62,25 @@ def test_paths_skip_row_groups(spark, tmp_path, monkeypatch, table):
     whole.unpersist()
 
 
+def test_filters_serve_where_dictionaries_are_too_large(spark, tmp_path, monkeypatch):
+    n, table = 160_000, "operations"  # a dictionary ends at a megabyte, 16,000 hashes
+    rows = rows_of(spark, table, n, n).persist()
+    value = rows.agg(F.min_by("transaction_hash", F.xxhash64("transaction_hash"))).first()[0]  # between the ends of any row group
+    reads = {}
+    monkeypatch.setattr(deltas, "vacuum", lambda *_, **__: None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, blooms in (("with", BLOOMS[table]), ("without", [])):
+            monkeypatch.setitem(BLOOMS, table, blooms)
+            deltas.commit(rows, str(tmp_path / name), table)
+            deltas.compact(spark, str(tmp_path / name), table)
+            reads[name] = scanned(deltas.read(spark, str(tmp_path / name), table).filter(F.col("transaction_hash") == value))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        rows.unpersist()
+    assert 0 < reads["with"] <= n / 2 < reads["without"] == n
+
+
 def test_a_segment_with_most_rows_is_split(spark, tmp_path):
     folder = str(tmp_path)
     deltas.commit(rows_of(spark, "operations"), folder, "operations")
