@@ -19,14 +19,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyspring.operators import builders, contracts, deltas, gaps, writes
+from tallyspring.operators import builders, contracts, deltas, gaps, rollups, writes
 from tallyspring.schemas import BUCKETS, KEYS, LEDGERS_RAW, TRANSACTIONS_RAW, table_schema
 from tallyspring.sources import landing
-from tallyspring.streaming import publish
+from tallyspring.streaming import publish, ticks
 from tallyspring.streaming.lease import Lease, Lost
 
 CURSOR = "last_ingested_ledger"
@@ -69,7 +69,7 @@ class Lake:
 def create_tables(spark: SparkSession, lake: Lake) -> None:
     """The folders that streams read. Tables need none: one without commits is empty."""
     files = deltas.Files(spark, lake.tables)
-    for folder in (lake.ledgers, lake.transactions, lake.requests, f"{lake.tables}/detected_contracts"):
+    for folder in (lake.ledgers, lake.transactions, lake.requests, f"{lake.tables}/detected_contracts", ticks.folder_of(lake.tables)):
         files.fs.mkdirs(files.path(folder))
 
 
@@ -133,12 +133,9 @@ def process(spark: SparkSession, lake: Lake, ledgers: DataFrame, publisher: Publ
         for name in ("token_events", "contract_events"):
             check()
             counts[name] = writes.append(good[name], lake.tables, name)
-        trouble = hold(quarantined(bad))
-        counts["errors"] = trouble.count()
         check()
-        if counts["errors"]:
-            append_ranged(trouble, lake, "quarantine", ["source", "ledger", "row"], "ledger", low, high)
-        set_cursor(spark, lake, seen)
+        counts["errors"] = append_ranged(quarantined(bad), lake, "quarantine", ["source", "ledger", "row"], "ledger", low, high)
+        set_cursor(spark, lake, high)
         if publisher:
             for messages in (publish.ledger_messages(good["ledgers"]), publish.transaction_messages(good["transactions"])):
                 try:
@@ -163,13 +160,17 @@ def finish(spark: SparkSession, lake: Lake, low: int, high: int, counts: dict[st
         deltas.Files(spark, lake.tables).delete(f"{lake.requests}/{request}")
 
 
-def append_ranged(rows: DataFrame, lake: Lake, table: str, keys: list[str], column: str, low: int, high: int) -> None:
-    """Adds the rows that a table without time partitions lacks, looking only at the batch's range of ledgers."""
-    rows = rows.dropDuplicates(keys).persist()
+def append_ranged(rows: DataFrame, lake: Lake, table: str, keys: list[str], column: str, low: int, high: int) -> int:
+    """Adds the rows that a table without time partitions lacks, looking only at the batch's range of ledgers; returns how
+    many rows the batch has, repeats included. They are counted as they pass, by no job of their own."""
+    passed = Observation()
+    rows = rows.observe(passed, F.count(F.lit(1)).alias("n")).dropDuplicates(keys).persist()
     try:
-        if not rows.isEmpty():
-            there = lake.table(rows.sparkSession, table).filter(F.col(column).between(low, high))
-            deltas.commit(writes.insert_if_absent(rows, there, keys), lake.tables, table)
+        if rows.isEmpty():  # else this has built all of them, as repeats meet in a shuffle
+            return 0
+        there = lake.table(rows.sparkSession, table).filter(F.col(column).between(low, high))
+        deltas.commit(writes.insert_if_absent(rows, there, keys), lake.tables, table)
+        return passed.get["n"]
     finally:
         rows.unpersist()
 
@@ -179,15 +180,28 @@ def totals(spark: SparkSession, lake: Lake) -> DataFrame:
     return lake.table(spark, "ingest_counters").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS))
 
 
+def errors_by_kind(spark: SparkSession, lake: Lake) -> DataFrame:
+    """How many rows of each source are in quarantine for each reason; a replay doesn't raise it."""
+    return lake.table(spark, "quarantine").groupBy("source", "reason").agg(F.count("*").alias("n_errors"))
+
+
+def health(spark: SparkSession, lake: Lake, now: Column | None = None, limit: str = "2 minutes") -> DataFrame:
+    """One row from the tail's newest tick, without a look at the tables: when it was, the newest ledger that had arrived,
+    how many batches and rows there were since its start, and whether it is older than the limit. Before the first tick
+    nothing is stale."""
+    newest = ticks.last_tick(spark, lake.tables).agg(*(F.max(c).alias(c) for c in ("at", "high", "n_batches", "n_rows")))
+    return newest.withColumn("stale", rollups.is_stale(F.col("at"), F.current_timestamp() if now is None else now, limit))
+
+
 def put_state(lake: Lake, key: str, value: DataFrame) -> None:
     """A new row of state, from a DataFrame of one row and column."""
     row = value.toDF("value").select(F.lit(key).alias("key"), F.col("value").cast("string").alias("value"), F.current_timestamp().alias("updated_at"))
     deltas.commit(row, lake.tables, "ingestion_state")
 
 
-def set_cursor(spark: SparkSession, lake: Lake, seen: DataFrame) -> None:
+def set_cursor(spark: SparkSession, lake: Lake, high: int) -> None:
     """A new row of state; the cursor is the greatest ever written, so it can't move back."""
-    put_state(lake, CURSOR, seen.agg(F.max("sequence")))
+    put_state(lake, CURSOR, spark.range(1, numPartitions=1).select(F.lit(high)))
 
 
 def start_sequence(spark: SparkSession, lake: Lake) -> int:
@@ -329,7 +343,7 @@ def tail(
 
     Late ledgers and transactions are taken at any age, as each row has a key: whatever lies at or after the start that
     the first run stored is ingested, in whatever order and after however many restarts it lands. Ledgers before it are
-    history, which ``backfill`` and ``repair`` ask for. Raises ``Lost`` if another writer doesn't end within ``wait`` seconds.
+    history, which ``backfill`` and ``repair`` ask for. Each trigger leaves a tick (see ``ticks``), of which ``health`` tells. Raises ``Lost`` if another writer doesn't end within ``wait`` seconds.
     """
     lease = Lease(spark, lake.tables)
     if not lease.take(wait):
@@ -345,6 +359,7 @@ def tail(
 
         asked = spark.readStream.schema(REQUEST).option("ignoreMissingFiles", True).option("maxFilesPerTrigger", files_per_batch).parquet(f"{lake.requests}/*")
         arrived = landed(lake.ledgers, LEDGERS_RAW, "sequence").unionByName(landed(lake.transactions, TRANSACTIONS_RAW, "ledger")).unionByName(asked.select("request", "low"))
+        arrived, name = ticks.observed(arrived, "low"), f"tail-{uuid.uuid4().hex}"
 
         def write(batch: DataFrame, _: int) -> None:
             lease.check()
@@ -360,7 +375,8 @@ def tail(
                 batch.unpersist()
             merge_often(spark, lake, merge_after)
 
-        writer = arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        spark.streams.addListener(ticks.Ticks(spark, lake.tables, name))
+        writer = arrived.writeStream.foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint)
         query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
         lease.release_after(query.awaitTermination)
         return query
