@@ -148,9 +148,11 @@ def pack(
 
     A null or empty text is one piece that holds the end id only. Ids may be null or repeat; each row is a document
     of its own. Sequence numbers hold the partition's number in the upper bits, so they are unique and the same again
-    when a lost task is run anew. Other columns of the input are left out.
+    when a lost task is run anew. Other columns of the input are left out. A limit under 1 is an error.
     """
     limits = (max_tokens, max_segments, max_loss)
+    if min(limits) < 1:
+        raise ValueError(f"limits {limits} leave no room for a piece")
     texts, loss = F.col(text_col), F.lit(None).cast("array<boolean>")
     if parts_col is not None:
         parts = F.coalesce(F.col(parts_col), F.array().cast("array<struct<text:string,loss:boolean>>"))
