@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,6 +128,14 @@ def json_string(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
+def bound(value: Column, fn: Callable[[Column], Column], kind: str = "string") -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` names it. ``kind`` is the type of the result.
+
+    A fold over one item: ``get`` of a transformed array would ask the whole of ``fn`` for its type on every row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: fn(x))
+
+
 def predicate(value: Column, depth: int = 6) -> Column:
     """A claim predicate, held as VARIANT, as a JSON text.
 
@@ -169,21 +179,22 @@ def display(value: Column, depth: int = 6, *, low_word: bool = False) -> Column:
     wide = "decimal(38,0)"
 
     def walk(v: Column, left: int) -> Column:
-        kind = text(v, "$.type")
+        return bound(text(v, "$.type"), lambda kind: told(v, kind, left))
+
+    def told(v: Column, kind: Column, left: int) -> Column:
         low, high = text(v, "$.lo").try_cast(wide), text(v, "$.hi").try_cast(wide)
         full = low if low_word else F.try_add(F.try_multiply(high, F.lit(str(2**64)).cast(wide)), low)
         out = F.when(kind.isin("symbol", "string", "address", "i64", "u64"), text(v, "$.v"))
-        out = out.when(kind == "bool", F.when(text(v, "$.v", "boolean"), "true").otherwise("false")).when(kind == "void", "void").when(kind == "error", F.concat(F.lit("error:"), F.coalesce(text(v, "$.v"), F.lit(""))))
-        out = out.when(kind.isin("i128", "u128"), full.cast("string")).when(kind == "bytes", F.concat(F.lit("0x"), text(v, "$.v")))
         if left:
             items = text(v, "$.v", "array<variant>")
             sides = F.flatten(F.transform(items, lambda x: F.array(text(x, "$.key", "variant"), text(x, "$.val", "variant"))))
             # one list of texts for lists and maps, so the expression grows with the depth only
             texts = F.transform(F.when(kind == "map", sides).otherwise(items), lambda x: walk(x, left - 1))
-            joined = F.get(F.transform(F.array(F.struct(kind.alias("kind"), texts.alias("texts"))), lambda s: _enclosed(s["kind"], s["texts"])), F.lit(0))
-            out = out.when(kind.isin("vec", "map"), joined)
+            out = out.when(kind.isin("vec", "map"), bound(texts, lambda t: _enclosed(kind, t)))
         else:
             out = out.when(kind.isin("vec", "map"), F.lit(None).cast("string"))
+        out = out.when(kind == "bool", F.when(text(v, "$.v", "boolean"), "true").otherwise("false")).when(kind == "void", "void").when(kind == "error", F.concat(F.lit("error:"), F.coalesce(text(v, "$.v"), F.lit(""))))
+        out = out.when(kind.isin("i128", "u128"), full.cast("string")).when(kind == "bytes", F.concat(F.lit("0x"), text(v, "$.v")))
         return out.otherwise(F.concat(F.lit("scval_type_"), F.coalesce(text(v, "$.code"), kind)))
 
     return walk(value, depth)

@@ -87,7 +87,7 @@ def operation_table(transactions_raw: DataFrame, domain: Column, hold: Hold = as
     each = each.withColumn("type_name", S.type_name(F.col("o.type_name"), F.col("o.type")))
     name, body = F.col("type_name"), F.col("o.body")
     predicates = F.when(name == "create_claimable_balance", F.transform(body["claimants"], lambda c: S.predicate(c["predicate"])))
-    each = trees.complete(each.withColumn("predicates", predicates), F.transform(body["claimants"], lambda c: c["predicate"]), "predicates", trees.PREDICATES, hold)
+    each = trees.complete(each.withColumn("predicates", predicates), F.transform(body["claimants"], lambda c: c["predicate"]), "predicates", trees.PREDICATES)
     each, bad = split(each, F.when(F.exists("predicates", lambda p: p.isNull()), "predicate"), hold)
     rows = each.select(
         "transaction_hash", (F.col("pos") + 1).alias("application_order"), "o.type", "type_name", F.col("o.source.base").alias("source_account"), F.col("o.source.muxed").alias("source_account_muxed"),
@@ -107,7 +107,7 @@ def contract_event_table(transactions_raw: DataFrame, domain: Column, hold: Hold
     each = each.filter(F.col("e.contract_id").isNotNull() & (F.col("e.body_v") == 0))
     # the topics and then the value, as one list; null topics give null texts
     values = F.concat(F.coalesce(F.transform("e.topics", lambda t: t["val"]), F.array().cast("array<variant>")), F.array("e.data.val"))
-    each = trees.complete(each.withColumn("texts", F.transform(values, lambda v: S.display(v))), values, "texts", trees.VALUES, hold)
+    each = trees.complete(each.withColumn("texts", F.transform(values, lambda v: S.display(v))), values, "texts", trees.VALUES)
     each = each.withColumn("shown", F.when(F.col("e.topics").isNotNull(), F.slice("texts", 1, F.size("texts") - 1))).withColumn("shown_value", F.element_at("texts", -1))
     hidden = F.exists(F.zip_with("e.topics", "shown", lambda t, text: t["val"].isNotNull() & text.isNull()), lambda x: x)
     each, bad = split(each, F.when(hidden, "topics").when(F.col("e.data.val").isNotNull() & F.col("shown_value").isNull(), "value"), hold)

@@ -1,14 +1,13 @@
-"""Texts of values of any depth, level by level, for those that one expression can't reach.
+"""Texts of values of any depth, for those that one unrolled expression can't reach.
 
-The expressions of ``functions.scalars`` unroll six levels. A value that they leave null is taken apart here: each level
-is one step over all values at once, in which what the expression can show becomes a text and what it can't gives its
-opening, its closing and its items to the next level. Pieces are placed by their path, so that one sort for each value
-puts them in a row. A value's pieces come from one cell, so a group is never larger than a row was.
+The expressions of ``functions.scalars`` unroll six levels. A value that they leave null is taken apart here, inside its
+row: a list of pieces, at first the value alone, is gone over once for each level, and each time a list or map gives way to
+its opening, its items and its closing, and any other value to its text. Nothing is shuffled, stored or read twice, so
+the work grows with the rows; a value's pieces are no more than its row has held.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,15 +16,12 @@ from pyspark.sql import functions as F
 
 from tallyspring.functions import scalars as S
 
-#: Place of a closing: after every item.
-LAST = 2**31 - 1
-
 Hold = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Shape:
-    """How nodes read: the text of what isn't too deep; the kinds of nodes with items, their items, and what stands around and between these."""
+    """How nodes read: the text of those without items; the kinds of nodes with items, their items, and what stands around and between these."""
 
     text: Callable[[Column], Column]
     kind: str
@@ -45,7 +41,7 @@ def _sides(v: Column, kind: Column) -> Column:
 
 
 VALUES = Shape(
-    text=S.display,
+    text=lambda v: S.display(v, 0),
     kind="$.type",
     kinds=("vec", "map"),
     items=_sides,
@@ -54,7 +50,7 @@ VALUES = Shape(
     between=lambda kind, i: F.when((kind == "map") & (i % 2 == 1), ":").otherwise(","),
 )
 PREDICATES = Shape(
-    text=S.predicate,
+    text=lambda v: S.predicate(v, 0),
     kind="$.kind",
     kinds=("and", "or", "not"),
     items=lambda v, kind: F.try_variant_get(v, "$.of", "array<variant>"),
@@ -64,57 +60,67 @@ PREDICATES = Shape(
 )
 
 
-def settled(df: DataFrame, hold: Hold) -> DataFrame:
-    """Rows whose plan begins anew: a checkpoint where the session has a folder for them, else ``hold``."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else hold(df)
+#: Levels that are gone over before a value is asked how many it can have.
+STEPS = 16
+#: What a value has come to: what stands before a piece, and its text or, while it is open, the value to be taken apart.
+PIECES = "array<struct<before:string,text:string,v:variant,open:boolean>>"
 
 
-def whole_texts(roots: DataFrame, shape: Shape, hold: Hold) -> DataFrame:
-    """(key, text) of values (key, v) of any depth; null where a part can't be shown at any depth. Keys are unique.
+def _closed(before: Column, text: Column) -> Column:
+    return F.struct(before.alias("before"), text.alias("text"), F.lit(None).cast("variant").alias("v"), F.lit(False).alias("open"))
+
+
+def _open(before: Column, v: Column) -> Column:
+    return F.struct(before.alias("before"), F.lit(None).cast("string").alias("text"), v.alias("v"), F.lit(True).alias("open"))
+
+
+def _apart(p: Column, shape: Shape) -> Column:
+    """The pieces that one level of an open piece gives."""
+
+    def node(kind: Column, items: Column) -> Column:
+        inner = F.transform(items, lambda v, i: _open(F.when(i == 0, "").otherwise(shape.between(kind, i)), v))
+        return F.concat(F.array(_closed(p["before"], shape.opening(kind))), inner, F.array(_closed(F.lit(""), shape.closing(kind))))
+
+    def told(kind: Column) -> Column:
+        whole = S.bound(F.when(kind.isin(*shape.kinds), shape.items(p["v"], kind)), lambda items: F.when(items.isNotNull(), node(kind, items)), PIECES)
+        return F.coalesce(whole, F.array(_closed(p["before"], shape.text(p["v"]))))
+
+    return S.bound(F.try_variant_get(p["v"], shape.kind, "string"), told, PIECES)
+
 
-    A level is a checkpoint, so that the next one neither begins at the roots again nor carries their plan. Without a
-    checkpoint folder ``hold`` persists it, and planning grows with the square of the depth. There are as many steps as
-    levels below the sixth; a parsed JSON text bounds them.
+def whole_text(value: Column, shape: Shape) -> Column:
+    """The text of a value of any depth; null where a part can't be shown at any depth.
+
+    A value has no more levels than its JSON text has brackets, as each has a list of its own; once nothing is open, or
+    a part can't be shown, the steps that are left pass.
     """
-    # columns of every level, made once: they are large
-    v, kind, path, i = (F.col(c) for c in ("v", "kind", "path", "i"))
-    text, items = shape.text(v), shape.items(v, kind)
-    is_open = F.coalesce(F.col("text").isNull() & kind.isin(*shape.kinds) & items.isNotNull(), F.lit(False))
-    own = F.struct(path.alias("at"), F.concat("before", F.when(F.col("is_open"), shape.opening(kind)).otherwise(F.col("text"))).alias("text"))
-    end = F.struct(F.concat(path, F.array(F.lit(LAST))).alias("at"), F.when(F.col("is_open"), shape.closing(kind)).otherwise("").alias("text"))
-    both, below = F.inline(F.array(own, end)), F.posexplode(items).alias("i", "v")
-    deeper, before = F.concat(path, F.array(i)).alias("path"), F.when(i == 0, "").otherwise(shape.between(kind, i)).alias("before")
-    level = roots.select("key", F.array().cast("array<int>").alias("path"), F.lit("").alias("before"), "v")
-    parts = []
-    while True:
-        told = level.withColumns({"text": text, "kind": F.try_variant_get(v, shape.kind, "string")})
-        level = settled(told.withColumn("is_open", is_open), hold)
-        parts.append(level.select("key", both))
-        inner = level.filter("is_open")
-        if inner.isEmpty():
-            break
-        level = inner.select("key", "path", "kind", below).select("key", deeper, before, "v")
-    pieces = functools.reduce(DataFrame.unionByName, parts)
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"])
-    return pieces.groupBy("key").agg(F.when(F.count_if(F.col("text").isNull()) == 0, F.array_join(in_order, "")).alias("text"))
-
-
-def complete(rows: DataFrame, values: Column, shown: str, shape: Shape, hold: Hold) -> DataFrame:
+
+    def state(pieces: Column) -> Column:
+        bad = F.exists(pieces, lambda p: ~p["open"] & p["text"].isNull())
+        return F.struct(pieces.alias("pieces"), bad.alias("bad"), (~bad & F.exists(pieces, lambda p: p["open"])).alias("open"))
+
+    def step(now: Column, _: Column) -> Column:
+        pieces = F.flatten(F.transform(now["pieces"], lambda p: F.when(p["open"], _apart(p, shape)).otherwise(F.array(p))))
+        return F.when(now["open"], S.bound(pieces, state, f"struct<pieces:{PIECES},bad:boolean,open:boolean>")).otherwise(now)
+
+    def joined(now: Column) -> Column:
+        return F.when(~now["bad"], F.array_join(F.transform(now["pieces"], lambda p: F.concat(p["before"], p["text"])), ""))
+
+    # the JSON text of a variant is slow to write, so only what is still open after STEPS asks for it
+    levels = F.length(F.to_json(value)) - F.length(F.replace(F.to_json(value), F.lit("["), F.lit(""))) + 1
+    run = lambda now, steps: F.when(now["open"], F.aggregate(F.sequence(F.lit(1), F.when(steps > 0, steps).otherwise(levels)), now, step)).otherwise(now)
+    return F.aggregate(F.array(F.lit(STEPS), F.lit(0)), state(F.array(_open(F.lit(""), value)).cast(PIECES)), run, joined)
+
+
+def whole_texts(roots: DataFrame, shape: Shape, hold: Hold) -> DataFrame:
+    """(key, text) of values (key, v) of any depth, held; null where a part can't be shown at any depth."""
+    return hold(roots.select("key", whole_text(F.col("v"), shape).alias("text")))
+
+
+def complete(rows: DataFrame, values: Column, shown: str, shape: Shape) -> DataFrame:
     """Rows whose column ``shown``, the texts of an array of values, has them for values of any depth as well.
 
-    Only rows with a value that is there and lacks its text are taken apart, each distinct value once. Null values stay
-    as they were, as do values with a part that can't be shown. Rows may repeat; columns starting with ``_`` are the step's own.
+    Only a value that is there and lacks its text is taken apart. Null values stay as they were, as do values with a
+    part that can't be shown.
     """
-    lacking = F.exists(F.zip_with(values, F.col(shown), lambda v, text: v.isNotNull() & text.isNull()), lambda x: x)
-    told = hold(rows.withColumn("_lacking", F.coalesce(lacking, F.lit(False))))
-    deep = told.filter("_lacking")
-    if deep.isEmpty():
-        return told.drop("_lacking")
-    keyed = deep.withColumn("_values", values).withColumn("_keys", F.transform("_values", lambda v: F.sha2(F.to_json(v), 256)))
-    keyed = keyed.withColumn("_list", F.array_join("_keys", ",", "-"))
-    each = keyed.select("_list", F.posexplode(F.arrays_zip("_keys", "_values")).alias("pos", "x")).select("_list", "pos", F.col("x._keys").alias("key"), F.col("x._values").alias("v"))
-    texts = whole_texts(each.filter("key IS NOT NULL").groupBy("key").agg(F.first("v").alias("v")), shape, hold)
-    places = each.select("_list", "pos", "key").distinct().join(texts, "key", "left")
-    lists = places.groupBy("_list").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]).alias("_whole"))
-    mended = keyed.join(lists, "_list").withColumn(shown, F.zip_with(shown, "_whole", lambda a, b: F.coalesce(a, b)))
-    return told.filter("NOT _lacking").select(*rows.columns).unionByName(mended.select(*rows.columns))
+    return rows.withColumn(shown, F.zip_with(values, F.col(shown), lambda v, text: F.when(v.isNotNull() & text.isNull(), whole_text(v, shape)).otherwise(text)))

@@ -490,12 +490,14 @@ def label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT event_id, repeat('[', (event_id % 10)::INTEGER) || 'e' || event_id || repeat(',a]', (event_id % 10)::INTEGER) AS shown FROM events")
 def deep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of up to nine levels; those over six are taken apart level by level."""
+    """Values of up to nine levels; those over six are taken apart, level by level inside their row."""
     levels = (F.col("event_id") % 10).cast("int")
     text = F.concat(F.repeat(F.lit('{"type":"vec","v":['), levels), F.lit('{"type":"symbol","v":"e'), "event_id", F.lit('"}'), F.repeat(F.lit(',{"type":"symbol","v":"a"}]}'), levels))
-    values = table(spark, sf_dir, "events").select("event_id", F.array(F.parse_json(text)).alias("values"))
+    # a split of a file has many ids, and each id is much work
+    ids = table(spark, sf_dir, "events").select("event_id").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    values = ids.select("event_id", F.array(F.parse_json(text)).alias("values"))
     rows = values.withColumn("shown", F.transform("values", lambda v: S.display(v)))
-    return trees.complete(rows, F.col("values"), "shown", trees.VALUES, DataFrame.persist).select("event_id", F.element_at("shown", 1).alias("shown"))
+    return trees.complete(rows, F.col("values"), "shown", trees.VALUES).select("event_id", F.element_at("shown", 1).alias("shown"))
 
 
 @registered("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'small') AND len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'r'))) > 0")

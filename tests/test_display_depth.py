@@ -118,3 +118,19 @@ def test_mixed_predicates(spark):
 
     roots = spark.createDataFrame([("x", json.dumps(tree(9)))], "key string, j string").select("key", F.parse_json("j").alias("v"))
     assert json.loads(trees.whole_texts(roots, trees.PREDICATES, DataFrame.persist).first()["text"]) == text(9)
+
+
+def test_deep_values_are_taken_apart_inside_their_row(spark):
+    """No shuffle, no job and no file of its own, so the work grows with the rows."""
+    jsons = [json.dumps(nested(3)), json.dumps(nested(9)), json.dumps(nested(40, "map")), json.dumps(buried(9)), None]
+    rows = spark.createDataFrame([(i, j) for i, j in enumerate(jsons)], "id int, j string").select("id", F.array(F.parse_json("j")).alias("values"))
+    rows = rows.withColumn("shown", F.transform("values", lambda v: S.display(v)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "deep")
+    try:
+        whole = trees.complete(rows, F.col("values"), "shown", trees.VALUES)
+        assert not tracker.getJobIdsForGroup("deep")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["shown"][0] for r in whole.collect()} == {0: shown(nested(3)), 1: shown(nested(9)), 2: shown(nested(40, "map")), 3: None, 4: None}
